@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tagsmith.llm.exact_dedup import OP5_SQL, op5_lsm_dedup
 from tagsmith.llm.jaccard_join import op3_jaccard_join
+from tagsmith.llm.packing import op8_pack_concat_cut
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op3_jaccard_join, op5_lsm_dedup, op8_pack_concat_cut)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_lsm_dedup": OP5_SQL}
