@@ -4,19 +4,19 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
 
 1. Projection cells. Unrelated texts lie at distances of 0.97 to 1 from every document, so with documents alone as
    pivots every window of 2r would admit every pivot. The first pivots are therefore projections: the shingle
-   universe is cut by hash into H + 1 classes, where H is the largest symmetric difference that two linked sets of
-   these sizes can have. Linked sets then agree wholly on at least one class, that is, they lie at distance 0 from
-   the same pivot (class content) in at least one of the H + 1 projected spaces, and each set is replicated to its
-   H + 1 cells.
+   universe is cut by hash into C classes, more than the largest symmetric difference H that two linked sets of
+   these sizes can have. Linked sets then agree wholly on at least C - H classes: they lie at distance 0 from the
+   same pivot (class content) in that many of the C projected spaces, and each set is replicated to its cells. A set
+   with fewer than C - H classes of under two shingles leaves those out, as another class must agree.
 2. Voronoi regions. Each cell's pivot document is its member in the densest cells, and the cells of one pivot p make
    p's region; a document is replicated to the region of every cell that it is in. Every linked pair shares a region.
    Each member's exact distance to p and its difference set D(x) = x ^ p are taken; near members link to p.
 3. Recursion. Regions whose members are one component are finished: more links there change nothing. In the others
    the join is repeated on the difference sets, which keep all distances: x ^ y = D(x) ^ D(y). If D(x) and D(y) are
    disjoint, then x & y is inside p and p inside x | y, so d(x, p) <= d(x, y): a linked pair is then linked to p
-   already. Any other linked pair shares an element of its difference sets, so regions are divided by those
-   elements; the triangle inequality | |D(x)| - |D(y)| | <= |x ^ y| leaves out pairs, shared elements are counted,
-   and the counts give exact similarities.
+   already. Any other linked pair has |x ^ y| <= h, and by the triangle inequality | |D(x)| - |D(y)| | <= h, so all
+   but h elements of either difference set are shared, and the first h + 1 elements of both, in one order, have a
+   common one. Regions are divided by those elements, and the pairs that meet there are compared exactly.
 
 Nothing is capped or compared approximately. Elements whose holders are one component are left out at once; of the
 others only the holders outside the element's largest component are paired, with the holders of other components.
@@ -39,7 +39,7 @@ from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_
 from tagsmith.llm.words import chunks, rolling, word_table
 
 #: Size bands grow by this factor; a pair of sizes is always inside one band or in the joint between two.
-BAND = 1.7
+BAND = 1.4
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -92,14 +92,18 @@ def cell_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         for scheme, h in schemes(len(s), num, den):
             salt = mix64(np.array([scheme * 2 + 1], np.uint64))
             m = mix64(s ^ salt)
-            kind = (m >> np.uint64(20)) % np.uint64(h + 1)
+            spare = 3 + h // 32 if h else 0
+            c = h + 1 + spare
+            kind = (m >> np.uint64(20)) % np.uint64(c)
             order = np.argsort(kind, kind="stable")
             total = np.zeros(len(s) + 1, np.uint64)
             np.cumsum(m[order], out=total[1:])
-            at = np.searchsorted(kind[order], np.arange(h + 2, dtype=np.uint64))
+            at = np.searchsorted(kind[order], np.arange(c + 1, dtype=np.uint64))
             content = total[at[1:]] - total[at[:-1]]
             count = np.diff(at).astype(np.uint64)
-            out.append(mix64(mix64(content + count) ^ mix64(np.arange(h + 1, dtype=np.uint64) * np.uint64(2**20 + 7) + salt)))
+            keys = mix64(mix64(content + count) ^ mix64(np.arange(c, dtype=np.uint64) * np.uint64(2**20 + 7) + salt))
+            weak = count < 2
+            out.append(keys if weak.sum() > spare else keys[~weak])
     return np.concatenate(out) if out else s[:0]
 
 
@@ -210,7 +214,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>").join(wanted.withColumnRenamed("x", "id"), "id", "left_semi")
     sets = staged(sets.dropDuplicates(["id"]), "jaccard-sets")
     far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
-    far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx")).alias("diff"))
+    far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.array_sort(F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))).alias("diff"))
     far = staged(far, "jaccard-far")
     drop_staged(cells, members, regions, reach, wanted, sets)
 
@@ -247,19 +251,28 @@ def _within_regions(far: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     """Links (a, b) between members of a region that are not one component yet, by their difference sets."""
     node = labels.select(F.col("node").alias("x"), "component")
     tag = far.join(node, "x", "left").select("p", "x", "n", "diff", F.coalesce("component", "x").alias("c"))
+    tag = tag.withColumn("d", F.size("diff"))
+    # a region of one member besides its pivot, or of one component, has no open pair
     shape = tag.groupBy("p").agg(F.count("x").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("members > 1 and c0 <> c1").select("p")
-    held = tag.join(shape, "p").select("p", "x", "c", "n", F.size("diff").alias("d"), F.explode("diff").alias("e"))
-    held = staged(held, "jaccard-held")
+    open_ = staged(tag.join(shape, "p"), "jaccard-open")
+    # n' <= n den / num, so h <= (n + n den / num) (den - num) / (den + num)
+    first = F.slice("diff", F.lit(1), F.expr(f"cast((n + n * {den} div {num} + 1) * {den - num} div {den + num} + 1 as int)"))
+    held = open_.select("p", "x", "c", "n", "d", F.explode(first).alias("e"))
     by = held.groupBy("p", "e", "c").agg(F.count("x").alias("k"))
-    open_ = by.groupBy("p", "e").agg(F.count("c").alias("cs"), F.max_by("c", "k").alias("top")).where("cs > 1").select("p", "e", "top")
-    held = held.join(open_, ["p", "e"])
+    meets = by.groupBy("p", "e").agg(F.count("c").alias("cs"), F.max_by("c", "k").alias("top")).where("cs > 1").select("p", "e", "top")
+    held = staged(held.join(meets, ["p", "e"]), "jaccard-held")
     a, b = held.where("c <> top").alias("a"), held.alias("b")
     most = f"(a.n + b.n) * {den - num} div {den + num}"
-    pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))).where(f"a.c <> b.c and (b.c = b.top or a.x < b.x) and abs(a.d - b.d) <= {most}")
-    # either order of a pair may come up, by which element is shared: count them together
-    pairs = pairs.select("a.p", F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y"), (F.col("a.n") + F.col("b.n")).alias("sizes"), (F.col("a.d") + F.col("b.d")).alias("ds"))
-    pairs = pairs.groupBy("p", "x", "y", "sizes", "ds").agg(F.count("*").alias("shared"))
-    return pairs.where(_near("sizes", "(ds - 2 * shared)", num, den)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    sizes = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
+    pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))).where(f"a.c <> b.c and (b.c = b.top or a.x < b.x) and abs(a.d - b.d) <= {most} and {sizes}")
+    # the same two may meet in several regions: the nearest pivot has their shortest difference sets
+    pairs = pairs.groupBy(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).agg(F.min_by(F.col("a.p"), F.col("a.d")).alias("p"))
+    pairs = staged(pairs, "jaccard-pairs")
+    left = open_.select("p", "x", "n", "diff")
+    right = open_.select("p", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("diff").alias("dy"))
+    got = pairs.join(left, ["p", "x"]).join(right, ["p", "y"])
+    apart = "(size(diff) + size(dy) - 2 * size(array_intersect(diff, dy)))"
+    return got.where(_near("n + ny", apart, num, den)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
