@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tagsmith.llm.decontamination import op1_template_decontamination
 from tagsmith.llm.exact_dedup import OP5_SQL, op5_lsm_dedup
 from tagsmith.llm.jaccard_join import op3_jaccard_join
 from tagsmith.llm.packing import op8_pack_concat_cut
+from tagsmith.llm.toxicity import op10_compression_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_jaccard_join, op5_lsm_dedup, op8_pack_concat_cut)}
+QUERIES = {f.__name__: f for f in (op1_template_decontamination, op3_jaccard_join, op5_lsm_dedup, op8_pack_concat_cut, op10_compression_toxicity)}
 
 ORACLE_SQL = {"op5_lsm_dedup": OP5_SQL}
