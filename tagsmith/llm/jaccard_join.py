@@ -16,7 +16,7 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    disjoint, then x & y is inside p and p inside x | y, so d(x, p) <= d(x, y): a linked pair is then linked to p
    already. Any other linked pair has |x ^ y| <= h, and by the triangle inequality | |D(x)| - |D(y)| | <= h, so all
    but h elements of either difference set are shared, and the first h + 1 elements of both, in one order, have a
-   common one. Regions are divided by those elements, and the pairs that meet there are compared exactly.
+   common one. The order puts what p lacks first: many members lack the same shingle of p, few add the same one. Regions are divided by those elements, and the pairs that meet there are compared exactly.
 
 Nothing is capped or compared approximately. Elements whose holders are one component are left out at once; of the
 others only the holders outside the element's largest component are paired, with the holders of other components.
@@ -214,7 +214,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>").join(wanted.withColumnRenamed("x", "id"), "id", "left_semi")
     sets = staged(sets.dropDuplicates(["id"]), "jaccard-sets")
     far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
-    far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.array_sort(F.concat(F.array_except("sx", "sp"), F.array_except("sp", "sx"))).alias("diff"))
+    far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_sort(F.array_except("sx", "sp")), F.array_sort(F.array_except("sp", "sx"))).alias("diff"))
     far = staged(far, "jaccard-far")
     drop_staged(cells, members, regions, reach, wanted, sets)
 
