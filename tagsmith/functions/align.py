@@ -9,9 +9,10 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tagsmith.deploy import ship
 from tagsmith.functions.text import compare_form, key_form, tokens
 
 WORD_DIFF = "struct<type:string,approval:array<string>,sample:array<string>,approval_text:string,sample_text:string>"
@@ -47,22 +48,27 @@ def _line_ops(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def _udf(f, kind: str):
+    ship(SparkSession.active())
+    return F.pandas_udf(f, kind)
+
+
 def similarity(left: Column, right: Column) -> Column:
     """2 M / T over the key forms; 1 for two empty ones, 0 for one. The rows with a native answer reach the UDF as nulls."""
     a, b = key_form(left), key_form(right)
     easy = (a == b) | (a == "") | (b == "")
-    ratio = F.pandas_udf(_ratio, "double")(F.when(~easy, a), F.when(~easy, b))
+    ratio = _udf(_ratio, "double")(F.when(~easy, a), F.when(~easy, b))
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(ratio)
 
 
 def word_diffs(left: Column, right: Column) -> Column:
-    return F.pandas_udf(_word_diffs, f"array<{WORD_DIFF}>")(tokens(left), tokens(right))
+    return _udf(_word_diffs, f"array<{WORD_DIFF}>")(tokens(left), tokens(right))
 
 
 def char_diffs(left: Column, right: Column) -> Column:
-    return F.pandas_udf(_char_diffs, f"array<{CHAR_DIFF}>")(compare_form(left), compare_form(right))
+    return _udf(_char_diffs, f"array<{CHAR_DIFF}>")(compare_form(left), compare_form(right))
 
 
 def line_opcodes(left: Column, right: Column) -> Column:
     """Opcodes that turn the array left into the array right."""
-    return F.pandas_udf(_line_ops, f"array<{OPCODE}>")(left, right)
+    return _udf(_line_ops, f"array<{OPCODE}>")(left, right)
