@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -46,10 +47,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete tables made by ``staged`` that nothing reads any more."""
+    """Delete tables made by ``staged`` that nothing reads any more.
+
+    The driver's collection that follows lets Spark's cleaner delete the shuffle files of the plans that wrote
+    them; otherwise they stay on the executors' disks until the driver happens to collect.
+    """
     for df in frames:
         p, fs = _hadoop_path(df.sparkSession, df.staged_path)
         fs.delete(p, True)
+    if frames:
+        gc.collect()
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def mapped(df: DataFrame, func, schema: str) -> DataFrame:

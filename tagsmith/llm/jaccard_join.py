@@ -7,7 +7,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    universe is cut by hash into C classes, more than the largest symmetric difference H that two linked sets of
    these sizes can have. Linked sets then agree wholly on at least C - H classes: they lie at distance 0 from the
    same pivot (class content) in that many of the C projected spaces, and each set is replicated to its cells. A set
-   with fewer than C - H classes of under two shingles leaves those out, as another class must agree.
+   leaves out its smallest classes, all sizes up to the one up to which it has fewer than C - H classes: classes that
+   agree have one size, so of two linked sets the one that leaves out more still keeps a class that agrees.
 2. Voronoi regions. Each cell's pivot document is its member in the densest cells, and the cells of one pivot p make
    p's region; a document is replicated to the region of every cell that it is in. Every linked pair shares a region.
    Each member's exact distance to p and its difference set D(x) = x ^ p are taken; near members link to p.
@@ -92,7 +93,7 @@ def cell_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
         for scheme, h in schemes(len(s), num, den):
             salt = mix64(np.array([scheme * 2 + 1], np.uint64))
             m = mix64(s ^ salt)
-            spare = 3 + h // 32 if h else 0
+            spare = 4 + h // 8 if h else 0
             c = h + 1 + spare
             kind = (m >> np.uint64(20)) % np.uint64(c)
             order = np.argsort(kind, kind="stable")
@@ -102,8 +103,10 @@ def cell_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
             content = total[at[1:]] - total[at[:-1]]
             count = np.diff(at).astype(np.uint64)
             keys = mix64(mix64(content + count) ^ mix64(np.arange(c, dtype=np.uint64) * np.uint64(2**20 + 7) + salt))
-            weak = count < 2
-            out.append(keys if weak.sum() > spare else keys[~weak])
+            # leave out the smallest classes: every size of which, with all smaller ones, there are at most spare
+            held = np.bincount(np.minimum(count, np.uint64(64)).astype(np.int64), minlength=66)
+            level = int(np.searchsorted(np.cumsum(held), spare, "right"))
+            out.append(keys[count >= np.uint64(min(level, 64))])
     return np.concatenate(out) if out else s[:0]
 
 
@@ -199,6 +202,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = mapped(docs, _cells(k, num, den, bit_filter(cells, "cell")), "cell long, f1 long, f2 long, id long")
     rows = rows.groupBy("cell", "f1", "f2").agg(F.min("id").alias("x"))
     members = staged(rows.join(cells, "cell").select("cell", "x"), "jaccard-members")
+    drop_staged(cells)
     # many cells hold the same members: one of them stands for all
     alike = members.groupBy("cell").agg(F.count("x").alias("n"), F.bit_xor(F.xxhash64("x", F.lit(2))).alias("s"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("t"))
     alike = alike.where("n > 1").groupBy("n", "s", "t").agg(F.min("cell").alias("cell"))
@@ -216,7 +220,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
     far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_sort(F.array_except("sx", "sp")), F.array_sort(F.array_except("sp", "sx"))).alias("diff"))
     far = staged(far, "jaccard-far")
-    drop_staged(cells, members, regions, reach, wanted, sets)
+    drop_staged(members, regions, reach, wanted, sets)
 
     near = _near("n + np", "size(diff)", num, den)
     links = far.where(near).select(F.col("x").alias("a"), F.col("p").alias("b"))
