@@ -17,7 +17,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 #: Texts are taken together until they hold this many bytes; a longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 400_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
