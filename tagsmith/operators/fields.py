@@ -74,6 +74,6 @@ def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text",
         v = F.nullif(strip_own_label(f, F.col("found")[f]), F.lit(""))
         if fallback:
             second = F.coalesce(search_line(f, F.col("__lines")), search_text(f, F.col("__text")))
-            v = F.coalesce(v, F.when(F.col("__lines")[0].isNotNull() & F.col("__text").rlike(rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(f))})"), strip_own_label(f, second)))
+            v = F.coalesce(v, F.when((F.size("__lines") > 0) & F.col("__text").rlike(rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(f))})"), strip_own_label(f, second)))
         values.append(F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), clean_value(F.coalesce(v, F.lit(""))).alias("value")))
     return rows.select(key, F.inline(F.array(*values)))
