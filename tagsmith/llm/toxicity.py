@@ -29,9 +29,10 @@ from tagsmith.llm.common import mapped, staged, table
 
 TRAIN_ROWS = 12_000
 WINDOW = 40
-#: A form is toxic if this share of toxic texts has it and its share is so many times that in ordinary texts.
-MIN_SHARE, MIN_RATIO = 0.015, 30
-COMMON_BYTES, FORM_BYTES = 6_000, 32_000
+#: A form is toxic if this share of toxic texts has it and its share is so many times that in ordinary texts, and if
+#: MIN_TEXTS toxic texts have it (or MIN_FEW of them, where there are few).
+MIN_SHARE, MIN_RATIO, MIN_TEXTS, MIN_FEW = 0.015, 30, 8, 0.15
+COMMON_BYTES, FORM_BYTES = 60_000, 32_000
 #: Least saving in bytes that counts as evidence, for the counting features.
 STEPS = (3, 4, 5, 6, 8)
 
@@ -56,6 +57,17 @@ def _term_rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array([x for t in terms for x in t], pa.string()), pa.array(np.repeat(some.column(1).to_numpy(), n), pa.int64())], ["term", "toxic"])
 
 
+def _kin(batches):
+    """Adds kin, the least hash of the text's three-word shingles: near copies nearly always share it."""
+    from tagsmith.llm.jaccard_join import shingle_sets
+
+    for b in batches:
+        kin = np.zeros(b.num_rows, np.int64)
+        for i, s in shingle_sets(b.column(0), 3):
+            kin[i] = s[:1].view(np.int64)[0] if len(s) else 0
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kin)], ["text", "toxic", "kin"])
+
+
 def _windows(text: str) -> list[bytes]:
     data, out, i = text.lower().encode("utf-8", "replace"), [], 0
     while i < len(data):
@@ -113,9 +125,9 @@ def savings_of(toxic: bytes, ordinary: bytes):
 
 def _dictionaries(counts: DataFrame, n_toxic: int, n_ordinary: int) -> tuple[bytes, bytes]:
     share = F.col("toxic") / n_toxic
-    forms = counts.where((share >= MIN_SHARE) & (F.col("toxic") >= 4) & (share >= MIN_RATIO * (F.col("ordinary") + 0.5) / n_ordinary))
+    forms = counts.where((share >= MIN_SHARE) & (F.col("toxic") >= max(4, min(MIN_TEXTS, MIN_FEW * n_toxic))) & (share >= MIN_RATIO * (F.col("ordinary") + 0.5) / n_ordinary))
     forms = [r["term"] for r in forms.orderBy(F.desc("toxic"), "term").limit(4_000).collect()]
-    common = [r["term"] for r in counts.where("ordinary > 0 and length(term) > 3").orderBy(F.desc("ordinary"), "term").limit(4_000).collect()]
+    common = [r["term"] for r in counts.where("ordinary > 0 and length(term) > 3").orderBy(F.desc("ordinary"), "term").limit(14_000).collect()]
     known = set(forms)
     stem = {f: next((f[:k] for k in range(4, len(f)) if f[:k] in known), f) for f in forms}
     # the longest forms only: a form that begins another one is inside it
@@ -146,9 +158,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Train on at most ``rows`` labelled texts; equal texts count once."""
+    """Train on at most ``rows`` labelled texts; near copies count once, or their own words would look toxic or ordinary."""
     texts = labelled.where(f"{label_col} is not null").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("toxic"), F.col(id_col).alias("id"))
-    texts = staged(texts.orderBy(F.xxhash64("id"), "id").limit(rows).dropDuplicates(["text"]).select("text", "toxic"), "toxic-train")
+    texts = mapped(texts.orderBy(F.xxhash64("id"), "id").limit(rows).select("text", "toxic"), _kin, "text string, toxic long, kin long")
+    texts = staged(texts.dropDuplicates(["kin"]).select("text", "toxic"), "toxic-train")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     toxic, ordinary = n.get(1, 0), n.get(0, 0)
     prior = toxic / max(1, toxic + ordinary)
