@@ -215,11 +215,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reach = staged(regions.join(pivots, "cell").select("x", "p").distinct().where("x <> p"), "jaccard-reach")
     wanted = staged(regions.select("x").distinct(), "jaccard-wanted")
     hashed = mapped(wanted, _hash_ids, "h long")
-    sets = mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>").join(wanted.withColumnRenamed("x", "id"), "id", "left_semi")
-    sets = staged(sets.dropDuplicates(["id"]), "jaccard-sets")
+    # the filter lets a few more documents through; they join nothing, so no shuffle takes them out
+    sets = staged(mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>"), "jaccard-sets")
     far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
     far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_sort(F.array_except("sx", "sp")), F.array_sort(F.array_except("sp", "sx"))).alias("diff"))
-    far = staged(far, "jaccard-far")
+    far = staged(far.dropDuplicates(["x", "p"]), "jaccard-far")  # an id that is repeated has several sets
     drop_staged(members, regions, reach, wanted, sets)
 
     near = _near("n + np", "size(diff)", num, den)
