@@ -39,8 +39,9 @@ from pyspark.sql import functions as F
 from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_staged, mapped, mix64, staged, table
 from tagsmith.llm.words import chunks, rolling, word_table
 
-#: Size bands grow by this factor; a pair of sizes is always inside one band or in the joint between two.
-BAND = 1.4
+#: Size bands grow by the third power of the largest ratio of linked sizes; a pair of sizes is always inside one band or
+#: in the joint between two. Wider bands need more classes for their own pairs, narrower ones put more sets in joints.
+BAND_POWER = 3
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -71,12 +72,11 @@ def schemes(n: int, num: int, den: int) -> list[tuple[int, int]]:
     Linked sizes are within num / den of each other, so a pair lies in one band or within that factor of the border
     of two. |x ^ y| = |x| + |y| - 2 |x & y| <= (|x| + |y|) (den - num) / (den + num).
     """
-    band = int(np.floor(np.log(max(n, 1)) / np.log(BAND) + 1e-9))
-    low, high = int(np.ceil(BAND**band - 1e-6)), int(np.ceil(BAND ** (band + 1) - 1e-6))
-    if n >= high:
-        band, low, high = band + 1, high, int(np.ceil(BAND ** (band + 2) - 1e-6))
-    elif n < low:
-        band, low, high = band - 1, int(np.ceil(BAND ** (band - 1) - 1e-6)), low
+    grow = (den / num) ** BAND_POWER
+    border = lambda band: int(np.ceil(grow**band - 1e-6))
+    band = int(np.floor(np.log(max(n, 1)) / np.log(grow) + 1e-9))
+    band += (n >= border(band + 1)) - (n < border(band))
+    low, high = border(band), border(band + 1)
     most = lambda total: total * (den - num) // (den + num)
     out = [(2 * band, most(2 * (high - 1)))]
     if n * den >= high * num:  # its partner may be the next band's
