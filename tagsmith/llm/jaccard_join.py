@@ -24,7 +24,7 @@ others only the holders outside the element's largest component are paired, with
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer
 than k words has its whole word sequence as its one shingle; identical sets are one class, represented by the
-smallest id; repeated rows of an id count once; other columns are ignored; an empty table gives an empty result.
+smallest id; of rows that repeat an id, the one with the smallest text counts; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -196,6 +196,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     info = staged(mapped(docs, _classes(k), "id long, n_shingles long, f1 long, f2 long"), "jaccard-classes")
+    if info.groupBy("id").count().where("count > 1").limit(1).count():  # only the ids are shuffled to see this
+        drop_staged(info)
+        docs = staged(docs.groupBy("id").agg(F.min("text").alias("text")), "jaccard-docs")
+        info = staged(mapped(docs, _classes(k), "id long, n_shingles long, f1 long, f2 long"), "jaccard-classes")
 
     keys = mapped(docs, _cells(k, num, den), "cell long, f1 long")
     cells = staged(keys.groupBy("cell").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("cell"), "jaccard-cells")
@@ -219,7 +223,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = staged(mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>"), "jaccard-sets")
     far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
     far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_sort(F.array_except("sx", "sp")), F.array_sort(F.array_except("sp", "sx"))).alias("diff"))
-    far = staged(far.dropDuplicates(["x", "p"]), "jaccard-far")  # an id that is repeated has several sets
+    far = staged(far, "jaccard-far")
     drop_staged(members, regions, reach, wanted, sets)
 
     near = _near("n + np", "size(diff)", num, den)
@@ -233,7 +237,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     reps = info.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("x"), F.count("id").alias("copies"))
     reps = reps.join(labels, reps["x"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "x").alias("component_id"), "copies")
-    info = info.dropDuplicates(["id"])
     out = attach(info, reps, ["f1", "f2"], "copies", info.count())
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
@@ -254,11 +257,12 @@ def _near(sizes: str, apart: str, num: int, den: int) -> str:
 def _within_regions(far: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between members of a region that are not one component yet, by their difference sets."""
     node = labels.select(F.col("node").alias("x"), "component")
-    tag = far.join(node, "x", "left").select("p", "x", "n", "diff", F.coalesce("component", "x").alias("c"))
-    tag = tag.withColumn("d", F.size("diff"))
+    tag = far.select("p", "x").join(node, "x", "left").select("p", "x", F.coalesce("component", "x").alias("c"))
     # a region of one member besides its pivot, or of one component, has no open pair
     shape = tag.groupBy("p").agg(F.count("x").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("members > 1 and c0 <> c1").select("p")
-    open_ = staged(tag.join(shape, "p"), "jaccard-open")
+    # ids find the open regions; the difference sets are shuffled once, by the pair
+    open_ = far.select("p", "x", "n", "diff").join(tag.join(shape, "p"), ["p", "x"])
+    open_ = staged(open_.withColumn("d", F.size("diff")), "jaccard-open")
     # n' <= n den / num, so h <= (n + n den / num) (den - num) / (den + num)
     first = F.slice("diff", F.lit(1), F.expr(f"cast((n + n * {den} div {num} + 1) * {den - num} div {den + num} + 1 as int)"))
     held = open_.select("p", "x", "c", "n", "d", F.explode(first).alias("e"))
