@@ -17,7 +17,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    disjoint, then x & y is inside p and p inside x | y, so d(x, p) <= d(x, y): a linked pair is then linked to p
    already. Any other linked pair has |x ^ y| <= h, and by the triangle inequality | |D(x)| - |D(y)| | <= h, so all
    but h elements of either difference set are shared, and the first h + 1 elements of both, in one order, have a
-   common one. The order puts what p lacks first: many members lack the same shingle of p, few add the same one. Regions are divided by those elements, and the pairs that meet there are compared exactly.
+   common one. The order puts what p lacks first: many members lack the same shingle of p, few add the same one. Regions are divided by those elements; only they are
+   kept of a difference set, and the pairs that meet there are compared exactly by their own sets.
 
 Nothing is capped or compared approximately. Elements whose holders are one component are left out at once; of the
 others only the holders outside the element's largest component are paired, with the holders of other components.
@@ -217,19 +218,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rank = F.shiftleft(F.col("score"), 16).bitwiseOR(F.xxhash64("x").bitwiseAND(F.lit(0xFFFF)))
     pivots = regions.join(dense, "x").groupBy("cell").agg(F.max_by("x", rank).alias("p"))
     reach = staged(regions.join(pivots, "cell").select("x", "p").distinct().where("x <> p"), "jaccard-reach")
-    wanted = staged(regions.select("x").distinct(), "jaccard-wanted")
-    hashed = mapped(wanted, _hash_ids, "h long")
-    # the filter lets a few more documents through; they join nothing, so no shuffle takes them out
-    sets = staged(mapped(docs, _sets(k, bit_filter(hashed, "h")), "id long, shingles array<long>"), "jaccard-sets")
-    far = reach.join(sets.select(F.col("id").alias("p"), F.col("shingles").alias("sp")), "p").join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("sx")), "x")
-    far = far.select("x", "p", F.size("sx").alias("n"), F.size("sp").alias("np"), F.concat(F.array_sort(F.array_except("sx", "sp")), F.array_sort(F.array_except("sp", "sx"))).alias("diff"))
-    far = staged(far, "jaccard-far")
-    drop_staged(members, regions, reach, wanted, sets)
-
-    near = _near("n + np", "size(diff)", num, den)
+    # pivots are few, so their sets are made apart; the filters let a few more documents through, which join nothing
+    made = {c: mapped(docs, _sets(k, _id_filter(reach.select(c))), "id long, shingles array<long>").alias(f"s{c}") for c in ("p", "x")}
+    sp, sx = F.col("sp.shingles"), F.col("sx.shingles")
+    far = reach.join(made["p"], F.expr("p = sp.id")).join(made["x"], F.expr("x = sx.id"))
+    far = far.select("x", "p", F.size(sx).alias("n"), F.size(sp).alias("np"), F.concat(F.array_sort(F.array_except(sx, sp)), F.array_sort(F.array_except(sp, sx))).alias("diff"))
+    # n' <= n den / num, so h <= (n + n den / num) (den - num) / (den + num); no more of a difference set is needed
+    first = F.expr(f"slice(diff, 1, cast((n + n * {den} div {num} + 1) * {den - num} div {den + num} + 1 as int))")
+    far = staged(far.select("x", "p", "n", "np", F.size("diff").alias("d"), first.alias("first")), "jaccard-far")
+    drop_staged(members, regions, reach)
+
+    near = _near("n + np", "d", num, den)
     links = far.where(near).select(F.col("x").alias("a"), F.col("p").alias("b"))
     labels = components(links, "jaccard")
-    more = staged(_within_regions(far, labels, num, den), "jaccard-links")
+    more = staged(_within_regions(docs, far, labels, k, num, den), "jaccard-links")
     if more.limit(1).count():
         drop_staged(labels)
         labels = components(links.union(more), "jaccard")
@@ -241,11 +243,35 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
 
 
+def _id_filter(ids: DataFrame) -> BitFilter:
+    return bit_filter(mapped(ids.distinct(), _hash_ids, "h long"), "h")
+
+
 def _hash_ids(batches):
     for b in batches:
         yield pa.RecordBatch.from_arrays([pa.array(mix64(_ids(b).view(np.uint64)).view(np.int64))], ["h"])
 
 
+def _elements(keep: BitFilter | None = None):
+    """Rows (p, x, c, n, d, first) -> (key, c) of each element, or with keep, (p, x, c, n, d, e) of those whose key is in it."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(5)
+            e = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            p, x, c, n, d = (b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(5))
+            key = mix64(mix64(e.view(np.uint64)) ^ p[row].view(np.uint64))
+            if keep is None:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], ["key", "c"])
+                continue
+            at = keep.test(key)
+            row = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p[row], x[row], c[row], n[row], d[row], e[at])], ["p", "x", "c", "n", "d", "e"])
+
+    return run
+
+
 def _near(sizes: str, apart: str, num: int, den: int) -> str:
     """Whether two sets of these sizes (a sum) that differ in so many elements are similar enough: exact in integers.
 
@@ -254,18 +280,18 @@ def _near(sizes: str, apart: str, num: int, den: int) -> str:
     return f"({sizes} - {apart}) * {den} >= ({sizes} + {apart}) * {num}"
 
 
-def _within_regions(far: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+def _within_regions(docs: DataFrame, far: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between members of a region that are not one component yet, by their difference sets."""
     node = labels.select(F.col("node").alias("x"), "component")
     tag = far.select("p", "x").join(node, "x", "left").select("p", "x", F.coalesce("component", "x").alias("c"))
     # a region of one member besides its pivot, or of one component, has no open pair
     shape = tag.groupBy("p").agg(F.count("x").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("members > 1 and c0 <> c1").select("p")
-    # ids find the open regions; the difference sets are shuffled once, by the pair
-    open_ = far.select("p", "x", "n", "diff").join(tag.join(shape, "p"), ["p", "x"])
-    open_ = staged(open_.withColumn("d", F.size("diff")), "jaccard-open")
-    # n' <= n den / num, so h <= (n + n den / num) (den - num) / (den + num)
-    first = F.slice("diff", F.lit(1), F.expr(f"cast((n + n * {den} div {num} + 1) * {den - num} div {den + num} + 1 as int)"))
-    held = open_.select("p", "x", "c", "n", "d", F.explode(first).alias("e"))
+    open_ = staged(far.join(tag.join(shape, "p"), ["p", "x"]).select("p", "x", "c", "n", "d", "first"), "jaccard-open")
+    # elements that members of two components hold: by hash first, so that only those few are shuffled as rows
+    keys = mapped(open_.select("p", "x", "c", "n", "d", "first"), _elements(), "key long, c long").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    keys = staged(keys.where("lo <> hi").select("key"), "jaccard-shared")
+    held = staged(mapped(open_.select("p", "x", "c", "n", "d", "first"), _elements(bit_filter(keys, "key")), "p long, x long, c long, n long, d long, e long"), "jaccard-elements")
+    drop_staged(open_, keys)
     by = held.groupBy("p", "e", "c").agg(F.count("x").alias("k"))
     meets = by.groupBy("p", "e").agg(F.count("c").alias("cs"), F.max_by("c", "k").alias("top")).where("cs > 1").select("p", "e", "top")
     held = staged(held.join(meets, ["p", "e"]), "jaccard-held")
@@ -273,14 +299,14 @@ def _within_regions(far: DataFrame, labels: DataFrame, num: int, den: int) -> Da
     most = f"(a.n + b.n) * {den - num} div {den + num}"
     sizes = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
     pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))).where(f"a.c <> b.c and (b.c = b.top or a.x < b.x) and abs(a.d - b.d) <= {most} and {sizes}")
-    # the same two may meet in several regions: the nearest pivot has their shortest difference sets
-    pairs = pairs.groupBy(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).agg(F.min_by(F.col("a.p"), F.col("a.d")).alias("p"))
-    pairs = staged(pairs, "jaccard-pairs")
-    left = open_.select("p", "x", "n", "diff")
-    right = open_.select("p", F.col("x").alias("y"), F.col("n").alias("ny"), F.col("diff").alias("dy"))
-    got = pairs.join(left, ["p", "x"]).join(right, ["p", "y"])
-    apart = "(size(diff) + size(dy) - 2 * size(array_intersect(diff, dy)))"
-    return got.where(_near("n + ny", apart, num, den)).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    # the same two may meet in several regions
+    pairs = staged(pairs.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct(), "jaccard-pairs")
+    ids = pairs.select(F.explode(F.array("x", "y")).alias("x"))
+    sets = staged(mapped(docs, _sets(k, _id_filter(ids)), "id long, shingles array<long>"), "jaccard-sets")
+    both = pairs.join(sets.alias("sx"), F.expr("x = sx.id")).join(sets.alias("sy"), F.expr("y = sy.id"))
+    sizes, common = F.expr("size(sx.shingles) + size(sy.shingles)"), F.expr("size(array_intersect(sx.shingles, sy.shingles))")
+    got = both.select("x", "y", sizes.alias("sizes"), (sizes - 2 * common).alias("apart"))
+    return got.where(_near("sizes", "apart", num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
