@@ -52,6 +52,18 @@ def test_every_linked_pair_of_sizes_shares_a_scheme():
                 assert any(h >= most for s, h in schemes(n, num, den) if s in shared), (n, m)
 
 
+def test_jaccard_join_members_of_one_region_link_apart_from_the_pivot(spark):
+    """Unlike texts share a long passage; two families of near copies inside it, and an id with two texts."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    family = lambda f: [f"{passage} " + " ".join(f"{f}{i}" if i != v else f"x{f}{v}" for i in range(90)) for v in (20, 50, 80)]
+    texts = family("a") + family("b") + [f"{passage} " + " ".join(f"{c}{i}" for i in range(40 + 9 * n)) for n, c in enumerate("cdefg")]
+    rows = [(i + 1, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + [(1, "zz " + texts[3])], "doc_id long, text string")
+    for k, num, den in ((3, 9, 10), (5, 4, 5)):
+        got = {r[0]: (r[1], r[2]) for r in jaccard_join(docs, k=k, num=num, den=den).collect()}
+        assert got == brute_groups(rows, k, num, den)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
