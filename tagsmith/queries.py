@@ -383,7 +383,7 @@ def merged_ocr(spark, d):
 
 @query()
 def y_cluster_lines(spark, d):
-    return ocr.cluster_lines(X.label_words(spark, d).where("seq < 400"))
+    return ocr.cluster_lines(X.label_words(spark, d))
 
 
 # --- logo ----------------------------------------------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagsmith.functions import align
 from tagsmith.operators import barcode, compare, fields, highlight, logo, ocr, report
+from tagsmith.queries import QUERIES
 
 
 def extract(spark, text):
@@ -122,6 +123,24 @@ def test_line_clusters(spark):
     assert got == {k: cluster_by_hand(ws) for k, ws in words.items()}
 
 
+def test_line_clusters_of_long_labels(spark, tmp_path):
+    docs = [(1, " ".join(f"w{i}" for i in range(3000))), (2, "a b"), (3, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got: dict = {}
+    for r in QUERIES["y_cluster_lines"](spark, str(tmp_path)).orderBy("label_id", "line_index").collect():
+        got.setdefault(r["label_id"], []).append(r["text"])
+    boxes = lambda t: [((i // 7) * 40 + i % 3, (i % 7) * 60, i, 20, w) for i, w in enumerate(t.split())]
+    assert got == {k: cluster_by_hand(boxes(t)) for k, t in docs if t}
+    # islands with and without overlap, negative heights, tall words
+    rnd = random.Random(7)
+    words = {k: [(rnd.randint(0, 900), rnd.randint(0, 90), s, rnd.choice((-4, 0, 8, 12, 90)), f"t{s}") for s in range(60)] for k in range(20)}
+    df = spark.createDataFrame([(k, *w) for k, ws in words.items() for w in ws], "label_id int, y int, x int, seq int, h int, text string")
+    got = {}
+    for r in ocr.cluster_lines(df).orderBy("label_id", "line_index").collect():
+        got.setdefault(r["label_id"], []).append(r["text"])
+    assert got == {k: cluster_by_hand(ws) for k, ws in words.items()}
+
+
 def test_logo_of_itself_and_of_a_flat_image(spark):
     pix = spark.createDataFrame([(i, y, x, 128 if i == 2 else (x * 37 + y * 11) % 256, 0 if i == 2 else (x + y) % 2) for i in (1, 2) for y in range(8) for x in range(8)], "image_id int, y int, x int, v int, edge int")
     pairs = spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, 1, 9)], "pair_id int, a_id int, b_id int")
