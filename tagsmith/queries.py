@@ -431,6 +431,15 @@ def region_crop(spark, d):
     return logo.regions(big, 32, 32).groupBy("image_id", "region").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.max("y").alias("max_y"), F.max("x").alias("max_x"))
 
 
+@query()
+def logo_region_status(spark, d):
+    pix = X.label_pixels(spark, d)
+    big = pix.select(F.expr("image_id div 16").alias("image_id"), F.expr("(image_id % 16) div 4 * 8 + y").alias("y"), F.expr("image_id % 4 * 8 + x").alias("x"), "v", "edge")
+    ids = big.select("image_id").distinct()
+    pairs = ids.select(F.col("image_id").alias("pair_id"), F.col("image_id").alias("a_id"), (F.col("image_id") + F.col("image_id") % 3).alias("b_id"))
+    return logo.compare_regions(pairs, big, big, grid=(36, 60)).drop("similarity")
+
+
 # --- barcode, highlight --------------------------------------------------------------------------------------
 
 _BARS = rf"""cand AS (SELECT *, CASE WHEN detected THEN regexp_replace(regexp_replace(upper(trim(decoded)), '[{_SPACE}]+', '', 'g'), '[^A-Z0-9\-._/]+', '', 'g') ELSE '' END AS val FROM ({X.BARCODES_SQL})),

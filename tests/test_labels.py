@@ -2,6 +2,7 @@ import itertools
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,63 @@ def test_logo_of_itself_and_of_a_flat_image(spark):
     assert got == {1: ("PASS", 100.0), 2: ("FAIL", 0.0), 3: ("NOT_FOUND", 0.0), 4: ("NOT_FOUND", 0.0)} or got[2][0] == "FAIL" and got[1] == ("PASS", 100.0)
 
 
+def regions_by_hand(a, b, gh, gw):
+    """status, score, regions of two images {(y, x): (v, edge)} or None, by the reference's rule."""
+
+    def crops(img):
+        h, w = (max(p[k] for p in img) + 1 for k in (0, 1)) if img else (0, 0)
+        if min(h, w) < 20:
+            return None
+        return [{(y - int(h * p), x - int(w * r)): img[y, x] for y in range(int(h * p), int(h * q)) for x in range(int(w * r), int(w * s))} for p, q, r, s in logo.REGIONS]
+
+    def ok(c):
+        return np.std([v for v, _ in c.values()]) >= 8 and np.mean([e for _, e in c.values()]) >= 0.015
+
+    def grid(c):
+        h, w = (max(p[k] for p in c) + 1 for k in (0, 1))
+        over = lambda n, s: [[(i, min((g + 1) * s, (i + 1) * n) - max(g * s, i * n)) for i in range(s) if min((g + 1) * s, (i + 1) * n) > max(g * s, i * n)] for g in range(n)]
+        cells = [[(c[y, x], p * q) for y, p in ys for x, q in xs] for ys in over(gh, h) for xs in over(gw, w)]
+        return np.array([(2 * sum(v * k for (v, _), k in u) + h * w) // (2 * h * w) for u in cells]), np.array([max(e for (_, e), _ in u) for u in cells])
+
+    def score(c, d):
+        (v, e), (u, f) = grid(c), grid(d)
+        hist = [np.bincount(t // 4, minlength=64) for t in (v, u)]
+        r = np.corrcoef(*hist)[0, 1] if hist[0].std() and hist[1].std() else 0.0
+        return 0.2 * (1 - np.abs(v - u).mean() / 255) + 0.2 * (r + 1) / 2 + 0.6 * ((e & f).sum() / max(1, (e | f).sum()))
+
+    a, b = crops(a), crops(b)
+    if a is None or b is None or not any(map(ok, a)):
+        return "NOT_FOUND", 0.0, None
+    if not any(map(ok, b)):
+        return "FAIL", 0.0, None
+    top, at = max((score(c, d), (-i, -j)) for i, c in enumerate(a) for j, d in enumerate(b) if ok(c) and ok(d))
+    return "PASS" if top >= 0.72 else "FAIL", round(top * 100, 1), (-at[0], -at[1])
+
+
+def test_logo_regions(spark):
+    rnd = random.Random(11)
+    mark = {(y, x): (rnd.randrange(256), int(rnd.random() < 0.3)) for y in range(12) for x in range(22)}
+    blank = lambda h, w: {(y, x): (200, 0) for y in range(h) for x in range(w)}
+    put = lambda img, dy, dx: img | {(y + dy, x + dx): c for (y, x), c in mark.items()}
+    noise = {(y, x): (rnd.randrange(256), 1) for y in range(16, 40) for x in range(40)}
+    # the crops 0 and 2 hold the same content; a mark in the left crop and the same in the middle one
+    left = blank(40, 40) | {(y, x): mark[y % 12, x % 22] for y in range(12) for x in range(0, 18)}
+    images = {1: put(blank(40, 40), 0, 6), 2: put(blank(40, 40), 0, 6) | noise, 3: blank(40, 40), 4: put(blank(12, 40), 0, 6), 5: put(blank(53, 61), 1, 9), 6: left, 7: {(y, x): (rnd.randrange(256), int(rnd.random() < 0.3)) for y in range(30) for x in range(30)}}
+    pix = spark.createDataFrame([(i, y, x, *c) for i, img in images.items() for (y, x), c in img.items()], "image_id int, y int, x int, v int, edge int")
+    todo = [(i * 10 + j, i, j) for i in images for j in (1, 2, 3, 4, 5, 6, 7, 9)]
+    pairs = spark.createDataFrame(todo, "pair_id int, a_id int, b_id int")
+    got = {r["pair_id"]: r for r in logo.compare_regions(pairs, pix, pix, grid=(9, 15)).collect()}
+    assert len(got) == len(todo)
+    for p, i, j in todo:
+        status, score, regions = regions_by_hand(images[i], images.get(j), 9, 15)
+        assert (got[p]["status"], (got[p]["a_region"], got[p]["b_region"]) if regions else None) == (status, regions), p
+        assert abs(got[p]["score"] - score) < 0.11, p
+    assert (got[12]["status"], got[12]["score"]) == ("PASS", 100.0) and got[41]["status"] == "NOT_FOUND" and got[13]["status"] == "FAIL"
+    # whole images call the pair different by what lies outside the crops
+    whole = {r["pair_id"]: r["status"] for r in logo.compare(pairs, pix, pix).collect()}
+    assert whole[12] == "FAIL" and whole[44] == "PASS"
+
+
 def test_highlight_and_report(spark):
     words = spark.createDataFrame([(1, 0, i, i, 10 * i, 5, 8, 8, t) for i, t in enumerate(["SIZE", "XL", "BLUE-2", "XL"])], "label_id int, line_index int, word_index int, seq int, x int, y int, w int, h int, text string")
     targets = spark.createDataFrame([(1, 0, 0, "xl"), (1, 0, 1, "BLUE"), (1, 0, 2, "zz")], "label_id int, line_index int, target_no int, target string")
