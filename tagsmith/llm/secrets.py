@@ -80,8 +80,8 @@ def guess_bits(value: str) -> float:
             if rank:
                 plain = value[a:i] == low[a:i]
                 cost = min(cost, best[a] + log2(rank) + 1 + (0 if plain else 1 if value[a:i].istitle() or value[a:i].isupper() else 3) + (2 if low[a:i] not in _RANK else 0))
-        for size, bits in ((min(run_of[i - 1], MAX_SEGMENT), 3.0), (min(walk_of[i - 1], MAX_SEGMENT), 5.0)):  # repeats, walks
-            if size >= 3:
+        for longest, bits in ((run_of[i - 1], 3.0), (walk_of[i - 1], 5.0)):  # repeats, walks, their shorter ends too
+            for size in range(3, min(longest, MAX_SEGMENT) + 1):
                 cost = min(cost, best[i - size] + _char_bits(value[i - size]) + bits + log2(size))
         for size in range(4, min(i, 10) + 1):  # dates
             if value[i - 1].isdigit() and _DATE.fullmatch(value, i - size, i):
@@ -114,7 +114,7 @@ def guess_spans(text: str) -> list[tuple[int, int, int, float]]:
         a, b = m.span(g)
         while b > a and text[b - 1] in ".!?)":
             b -= 1
-        if b - a >= MIN_LENGTH and " " not in text[a:b] and (bits := guess_bits(text[a:b])) >= MIN_BITS:
+        if b - a >= MIN_LENGTH and (bits := guess_bits(text[a:b])) >= MIN_BITS:
             out.append((a, 3, b, bits))
     return out
 

@@ -51,6 +51,48 @@ def test_guess_cost_is_the_least_over_segmentations():
         assert abs(S.guess_bits(value) - brute_bits(value)) < 1e-9
 
 
+def segment_bits(part):
+    """The least cost of part as one segment, by the method's definitions."""
+    n, low, costs = len(part), part.lower(), [1e9]
+    if n == 1:
+        costs.append(S._char_bits(part))
+    leet = low.translate(S._LEET)
+    if 3 <= n <= S._LONGEST and (rank := S._RANK.get(low) or S._RANK.get(leet)):
+        costs.append(S.log2(rank) + 1 + (0 if part == low else 1 if part.istitle() or part.isupper() else 3) + (2 if low not in S._RANK else 0))
+    if 3 <= n <= S.MAX_SEGMENT:
+        steps = list(itertools.pairwise(low))
+        if len(set(part)) == 1:
+            costs.append(S._char_bits(part[0]) + 3 + S.log2(n))
+        if all(y in S._NEAR.get(x, ()) or abs(ord(x) - ord(y)) == 1 for x, y in steps):
+            costs.append(S._char_bits(part[0]) + 5 + S.log2(n))
+    if 4 <= n <= 10 and S._DATE.fullmatch(part):
+        costs.append(S.log2(365 * 120) * (0.5 if n < 6 else 1))
+    return min(costs)
+
+
+def exhaustive_bits(value):
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        again = [best[i] + 3.0 for i in range(j - 2 if j > 2 else 0, 0, -1) if j - i <= S.MAX_SEGMENT and 2 * i >= j and value[2 * i - j : i] == value[i:j]]
+        best.append(min([best[i] + segment_bits(value[i:j]) for i in range(j)] + again))
+    return best[-1]
+
+
+def test_guess_cost_equals_every_segmentation():
+    assert S.guess_bits("supermanmnbvcxz") < 20
+    rnd = random.Random(8)
+    parts = ["superman", "Love", "p4ssword", "mnbvcxz", "nmnbv", "aaaa", "aaab", "1234", "2020-01-15", "1999", "qwer", "xyx", "zq", "#", "abcabc"]
+    for _ in range(300):
+        value = "".join(rnd.choices(parts, k=rnd.randint(1, 5)))
+        assert abs(S.guess_bits(value) - exhaustive_bits(value)) < 1e-9, value
+
+
+def test_quoted_values_with_spaces_are_scored():
+    text = 'passphrase: "vQ9z kJ8# xP2! Lm4w" and pin is \'zR7 uT5 qK3 wB8\' but pwd: "love love"'
+    got = [(text[a:b], bits) for a, _, b, bits in S.guess_spans(text)]
+    assert [v for v, _ in got] == ["vQ9z kJ8# xP2! Lm4w", "zR7 uT5 qK3 wB8"] and all(bits == S.guess_bits(v) for v, bits in got)
+
+
 def test_secret_query_handles_hard_texts(spark, hard_docs, tmp_path):
     hard_docs.write.parquet(str(tmp_path / "documents.parquet"))
     rows = QUERIES["op4_guess_cost_secrets"](spark, str(tmp_path)).collect()
