@@ -1,8 +1,9 @@
 """License scans by conditional compression.
 
 Candidate blocks are runs of sentences or lines with license wording. Each block is compressed with every template as
-a zstandard raw dictionary; the size reductions against no dictionary rank the templates. The best ones are
-confirmed by exact wording differences: the words that the block adds to or lacks from the closest passage of the template.
+a zstandard raw dictionary; the size reductions against no dictionary rank the templates. All are checked
+by exact wording differences: the words that the block adds to or lacks from the closest passage of the template.
+What a winner leaves of the block is ranked and checked again, so a block gives a row for each notice in it.
 A template wins if enough of the block's words stand in it in order and none of the words by which it differs from
 other licenses (names, versions, clauses) is contradicted.
 
@@ -13,6 +14,7 @@ smaller license id; repeated rows are scanned each; other columns are ignored; a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -68,7 +70,13 @@ _UNIT = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)", re.S)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _COMMON = {*"a an and any are as at be by for from in is it its may no not of on or that the this to under was with you your work".split()}
 #: Share of a sentence's less common words that license texts use, from which it goes on a block that it touches.
-LIKE, MIN_MATCH, TOP = 0.7, 0.8, 3
+LIKE, MIN_MATCH = 0.7, 0.8
+
+
+def _lower(text: str) -> str:
+    """Lower case with the places of text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def words_of(text: str) -> list[str]:
@@ -77,6 +85,8 @@ def words_of(text: str) -> list[str]:
 
 _VOCABULARY = {w for notes in TEMPLATES.values() for n in notes for w in words_of(n)} - _COMMON
 _NOTICE_WORDS = {k: [words_of(n) for n in notes] for k, notes in TEMPLATES.items()}
+#: Units of the longest notice, were it set in lines of four words or more.
+MAX_UNITS = max(len(n) for notes in _NOTICE_WORDS.values() for n in notes) // 4 + 1
 #: Words that tell licenses apart: a template's notices have them, some other template's have not.
 _TELLING = {"mit", "apache", "bsd", "clause", "2", "3", "2.0", "2.1", "3.0", "4.0", "1.0", "gnu", "general", "lesser", "affero", "gpl", "lgpl", "agpl", "gplv2", "gplv3", "lgplv3", "agplv3", "v2", "v3", "cc", "cc0", "nc", "nd", "sa", "noncommercial", "noderivatives", "sharealike", "mozilla", "mpl", "isc", "unlicense"}
 
@@ -134,44 +144,93 @@ class LicenseScanner:
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in self.given.items()), key=lambda r: (-r[0], r[1]))
 
-    def differences(self, block: str, license_id: str) -> tuple[float, list[str], bool]:
-        """(share of the block's words in the closest notice, differing words with + and -, nothing telling differs)."""
-        words, best = words_of(block), (0.0, [], False)
+    def closest(self, words: list[str], license_id: str) -> dict:
+        """The closest notice: share of words in it, differing words with + and -, whether nothing telling differs, and its part of words (from, to, differences inside)."""
+        best = {"share": 0.0, "diff": [], "clean": False, "from": 0, "to": 0, "inner": []}
+        have = set(words)
         for notice in _NOTICE_WORDS[license_id]:
-            if len(set(words) & set(notice)) < MIN_MATCH * min(len(set(words)), len(set(notice))):
+            if len(have & set(notice)) < MIN_MATCH * min(len(have), len(set(notice))):
                 continue
-            m = SequenceMatcher(None, words, notice, autojunk=False)
-            ops = m.get_opcodes()
+            ops = SequenceMatcher(None, words, notice, autojunk=False).get_opcodes()
             same = sum(b - a for t, a, b, _, _ in ops if t == "equal")
-            diff = [d for t, a, b, c, e in ops if t != "equal" for d in [*("+" + w for w in words[a:b]), *("-" + w for w in notice[c:e])]]
+            spell = lambda some: [d for t, a, b, c, e in some if t != "equal" for d in [*("+" + w for w in words[a:b]), *("-" + w for w in notice[c:e])]]  # noqa: B023, E731
+            diff = spell(ops)
             # words before and after the notice are not its wording
             inner = ops[1:-1] if ops and ops[0][0] == "delete" else ops[:-1]
             inner = [*inner, *(o for o in ops[-1:] if o[0] != "delete")]
             clean = not any(w in _TELLING for t, a, b, c, e in inner if t != "equal" for w in [*words[a:b], *notice[c:e]])
             whole = same == len(notice) and all(t != "replace" for t, *_ in ops)
-            now = (1.0 if whole and clean else same / max(1, len(words)), diff, clean)
-            if (clean, now[0], -len(diff)) > (best[2], best[0], -len(best[1])):
-                best = now
+            share = 1.0 if whole and clean else same / max(1, len(words))
+            if (clean, share, -len(diff)) > (best["clean"], best["share"], -len(best["diff"])):
+                equal = [(a, b) for t, a, b, _, _ in ops if t == "equal"]
+                # a few words matched far from the rest are not the notice's place
+                while len(equal) > 1 and equal[0][1] - equal[0][0] < equal[1][0] - equal[0][1]:
+                    equal.pop(0)
+                while len(equal) > 1 and equal[-1][1] - equal[-1][0] < equal[-1][0] - equal[-2][1]:
+                    equal.pop()
+                best = {"share": share, "diff": diff, "clean": clean, "from": equal[0][0] if equal else 0, "to": equal[-1][1] if equal else 0, "inner": spell(inner)}
         return best
 
+    def differences(self, block: str, license_id: str) -> tuple[float, list[str], bool]:
+        """(share of the block's words in the closest notice, differing words with + and -, nothing telling differs)."""
+        c = self.closest(words_of(block), license_id)
+        return c["share"], c["diff"], c["clean"]
+
+    def winner(self, part: str, words: list[str]) -> dict | None:
+        """Of all templates, the one that the exact wording confirms; without differences first, then by reduction."""
+        checked = {k: self.closest(words, k) for k in TEMPLATES} if words else {}
+        confirmed = {k: c for k, c in checked.items() if c["clean"] and c["share"] >= MIN_MATCH and c["to"] > c["from"]}
+        if not confirmed:
+            return None
+        reduction, k = min(((r, k) for r, k in self.rank(part) if k in confirmed), key=lambda c: (len(confirmed[c[1]]["diff"]), -c[0], c[1]))
+        return {"license": k, "reduction": reduction, **confirmed[k]}
+
+    def spans(self, block: str) -> list[dict]:
+        """All confirmed licenses of a block with their places: the whole, then what a winner leaves, then runs of units."""
+        at = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(_lower(block))]
+        if not at:
+            return []
+        ends = {bisect_left(at, (m.end(),)) for m in _UNIT.finditer(block)} - {0}
+        out, todo = [], [(0, len(at), True)]
+        while todo:
+            i, j, runs = todo.pop()
+            if i >= j:
+                continue
+            won = self.winner(block[at[i][0] : at[j - 1][1]], [w for *_, w in at[i:j]])
+            if won:
+                a, b = i + won["from"], i + won["to"]
+                end = at[b - 1][1]
+                while end < len(block) and not block[end].isspace() and (b == len(at) or end < at[b][0]):
+                    end += 1
+                out.append({**won, "from": at[a][0], "to": end})
+                todo += [(i, a, runs), (b, j, runs)]
+            elif runs:
+                # no notice makes up the part: runs of its sentences or lines, the longest first
+                cuts = [i, *sorted(e for e in ends if i < e < j), j]
+                u = 0
+                while u + 1 < len(cuts):
+                    for v in range(min(u + MAX_UNITS, len(cuts) - 1), u, -1):
+                        if cuts[v] - cuts[u] < j - i and self.winner(block[at[cuts[u]][0] : at[cuts[v] - 1][1]], [w for *_, w in at[cuts[u] : cuts[v]]]):
+                            todo.append((cuts[u], cuts[v], False))
+                            u = v - 1
+                            break
+                    u += 1
+        return sorted(out, key=lambda r: r["from"])
+
     def scan(self, text: str) -> list[dict]:
         out = []
         for a, b in blocks(text):
             block = text[a:b]
-            ranked = self.rank(block)[:TOP]
-            row = {"start": a, "end": b, "license": None, "reduction": ranked[0][0], "best": ranked[0][1], "share": 0.0, "differences": None}
-            # among the best reductions, the first that the exact wording confirms; a winner without differences goes first
-            checked = [(reduction, k, *self.differences(block, k)) for reduction, k in ranked]
-            confirmed = [c for c in checked if c[4] and c[2] >= MIN_MATCH]
-            if confirmed:
-                reduction, k, share, diff, _ = min(confirmed, key=lambda c: (len(c[3]), -c[0], c[1]))
-                row |= {"license": k, "reduction": reduction, "share": share, "differences": " ".join(diff)}
-            out.append(row)
+            reduction, best = self.rank(block)[0]
+            found = self.spans(block)
+            out += [{"start": a + w["from"], "end": a + w["to"], "license": w["license"], "best": best, "reduction": w["reduction"], "share": w["share"], "differences": " ".join(w["inner"])} for w in found]
+            if not found:
+                out.append({"start": a, "end": b, "license": None, "reduction": reduction, "best": best, "share": 0.0, "differences": None})
         return out
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block: id_col, start, end, license (null if none is confirmed), best, reduction, share, differences."""
+    """One row per confirmed notice, and one per block without any (license null): id_col, start, end, license, best (of the whole block), reduction, share, differences."""
     names = ["id", "start", "end", "license", "best", "reduction", "share", "differences"]
     types = dict(zip(names[1:], (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.string()), strict=True))
 

@@ -112,6 +112,22 @@ def test_licenses():
     assert one("") == [] and one("no cue at all") == []
 
 
+def test_all_licenses_of_a_block():
+    scanner = L.LicenseScanner()
+    many = lambda t: [(r["license"], t[r["start"] : r["end"]]) for r in scanner.scan(t)]
+    mit, apache = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    assert many(f"{mit} {apache}") == [("MIT", mit), ("Apache-2.0", apache)]
+    names = {"MIT": "MIT License", "Apache-2.0": "Apache License 2.0", "ISC": "ISC License", "GPL-3.0": "GNU General Public License, version 3", "CC-BY-4.0": "CC BY 4.0", "MPL-2.0": "MPL-2.0"}
+    for order in itertools.islice(itertools.permutations(names), 0, 720, 90):
+        text = "\n".join(f"Licensed under the {names[k]}." for k in order)
+        assert [k for k, _ in many(text)] == list(order)
+    assert {k for k, _ in many(L._MIT + "\n" + L._BSD + " " + L._BSD_3)} == {"MIT", "BSD-3-Clause"}
+    # two notices, each with a word changed
+    changed = L._MIT.replace("hereby", "herewith") + "\n" + L.TEMPLATES["ISC"][-1].replace("hereby", "herewith")
+    assert {k for k, _ in many(changed)} == {"MIT", "ISC"}
+    assert many(f"{mit} Licensed under the Apache License, Version 3.0.") == [("MIT", mit)]
+
+
 def test_license_and_extraction_queries_handle_hard_rows(spark, hard_docs, tmp_path):
     assert L.scan_licenses(hard_docs).count() == 0
     assert L.scan_licenses(hard_docs.limit(0)).count() == 0
