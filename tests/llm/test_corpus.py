@@ -82,6 +82,17 @@ def test_decontamination_finds_reparameterised_items(spark, corpus):
         assert {d for d, j in got if j == i["item_id"]} == near - {601}
 
 
+def test_decontamination_finds_bare_and_short_items(spark):
+    rnd = random.Random(12)
+    table, names = "12 + 7 = 19 ; 3 x 14 = 42 ; 81 / 9 = 9 ; 6 + 6 = 12", "of Maria Lopez Tom Baker Ann Fisher Bob Turner Eve Walker"
+    items = spark.createDataFrame([(1, table), (2, names), (3, "seven times six"), (4, "the blue whale"), (5, "add 4 apples")], "item_id long, text string")
+    around = lambda t: prose(rnd, 30) + " " + t + " " + prose(rnd, 30)
+    docs = [(1, around(table)), (2, around(names)), (3, around("seven times six")), (4, around("the blue whale")), (5, around("add 4 apples")), (6, around(table.replace("1", "5"))), (7, around("seven times five")), (8, around("add 5 apples")), (9, "seven times five"), (10, prose(rnd, 60)), (11, table), (12, around("of Maria Lopez and Tom"))]
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    # 8 has another value in two literals, 9 is the whole template of 3
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (8, 5), (9, 3), (11, 1)}
+
+
 def test_decontamination_handles_hard_rows(spark, hard_docs):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "12 12 12 12 12 12"), (None, "one two")], "item_id long, text string")
     assert D.contaminated(hard_docs, items).count() == 0
