@@ -471,5 +471,5 @@ def safe_boxes(spark, d):
 @query()
 def word_match_boxes(spark, d):
     words = ocr.index_words(X.label_words(spark, d))
-    targets = words.where("word_index % 3 = 0").select("label_id", "line_index", F.col("word_index").alias("target_no"), F.col("text").alias("target"))
+    targets = words.select("label_id", "line_index", F.col("word_index").alias("target_no"), F.col("text").alias("target"))
     return highlight.find_words(targets, words).select("label_id", "line_index", "target_no", "target", "word_index", "fit")

@@ -206,6 +206,29 @@ def test_logo_regions(spark):
     assert whole[12] == "FAIL" and whole[44] == "PASS"
 
 
+def test_targets_take_their_next_best_word(spark):
+    rnd = random.Random(13)
+    pool = ["XL", "xl", "BLUE", "BLUE-2", "LUE", "SIZE", "SIZE4", "A", "AB"]
+    lines = {(k, i): rnd.choices(pool, k=rnd.randint(1, 8)) for k in range(12) for i in (0, 1)}
+    wants = {(k, i): rnd.choices(pool, k=rnd.randint(1, 6)) for k, i in lines}
+    wants |= {(20, None): ["A 1"], (21, None): ["XL", "XL"]}
+    lines |= {(20, 0): ["B", "A", "1"], (21, 0): ["XL"], (21, 1): ["SIZE", "XL"]}
+    words = spark.createDataFrame([(k, i, j, j, 10 * j + 100 * i, 5, 8, 8, t) for (k, i), ts in lines.items() for j, t in enumerate(ts)], "label_id int, line_index int, word_index int, seq int, x int, y int, w int, h int, text string")
+    targets = spark.createDataFrame([(k, i, n, t) for (k, i), ts in wants.items() for n, t in enumerate(ts)], "label_id int, line_index int, target_no int, target string")
+    got = {(r["label_id"], r["line_index"], r["target_no"], r["word_index"], r["fit"]) for r in highlight.find_words(targets, words).collect()}
+    norm = lambda x: "".join(c for c in x.upper() if c.isalnum())
+    want = {(20, 0, 0, 1, 2), (20, 0, 0, 2, 2), (21, 0, 0, 0, 2), (21, 1, 1, 1, 2)}
+    for (k, i), ts in wants.items():
+        used: set = set()
+        for n, t in enumerate(map(norm, ts if i is not None else [])):
+            fits = [(2 if t == w else int(len(t) >= 3 and (t in w or w in t)), -j) for j, w in enumerate(map(norm, lines[k, i])) if j not in used]
+            fit, j = max(fits, default=(0, 0))
+            if fit:
+                used.add(-j)
+                want.add((k, i, n, -j, fit))
+    assert got == want
+
+
 def test_highlight_and_report(spark):
     words = spark.createDataFrame([(1, 0, i, i, 10 * i, 5, 8, 8, t) for i, t in enumerate(["SIZE", "XL", "BLUE-2", "XL"])], "label_id int, line_index int, word_index int, seq int, x int, y int, w int, h int, text string")
     targets = spark.createDataFrame([(1, 0, 0, "xl"), (1, 0, 1, "BLUE"), (1, 0, 2, "zz")], "label_id int, line_index int, target_no int, target string")
