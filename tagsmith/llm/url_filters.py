@@ -22,8 +22,6 @@ from tagsmith.llm.common import HEAVY_SHARE, staged, table
 
 KINDS = {"domain": 1, "host": 2, "prefix": 3, "url": 4}
 SALTS = 32
-#: Path segments and host labels that can be list keys; entries for longer ones are of kind url.
-SEGMENTS, LABELS = 6, 6
 
 
 def host_of(url: Column) -> Column:
@@ -39,8 +37,8 @@ def url_keys(url: Column) -> Column:
     host, path = host_of(url), path_of(url)
     labels = F.split(host, r"\.")
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    domains = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.size(labels), F.lit(LABELS)))), lambda n: n <= F.size(labels)), lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("value")))
-    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.lit(SEGMENTS)), lambda n: n <= F.size(parts)), lambda n: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")).alias("value")))
+    domains = F.transform(F.filter(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(labels))), lambda n: n <= F.size(labels)), lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("value")))
+    prefixes = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts))), lambda n: n <= F.size(parts)), lambda n: F.struct(F.lit("prefix").alias("kind"), F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, n), "/")).alias("value")))
     own = F.array(F.struct(F.lit("url").alias("kind"), url.alias("value")), F.struct(F.lit("host").alias("kind"), host.alias("value")))
     return F.when(url.isNotNull() & (host != ""), F.concat(own, domains, prefixes))
 
@@ -60,7 +58,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", u
     rows = staged(rows.withColumn("row", F.xxhash64("id", "url", "fetched")), "url-captures")
     keyed = rows.select("id", "url", "fetched", "copies", "row", F.explode_outer(url_keys(F.col("url"))).alias("k")).select("id", "url", "fetched", "copies", "row", "k.kind", "k.value")
     floor = max(16, int(rows.count() * HEAVY_SHARE))
-    # a capture has at most 2 + SEGMENTS + LABELS keys, so at most that many times 1 / HEAVY_SHARE keys are heavy
+    # at most the mean number of a capture's keys times 1 / HEAVY_SHARE keys are heavy
     heavy = F.broadcast(staged(keyed.where("kind is not null").groupBy("kind", "value").count().where(F.col("count") >= floor).select("kind", "value", F.lit(True).alias("hot")), "url-heavy"))
     keyed = keyed.join(heavy, ["kind", "value"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("row"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int"))
     listed = intervals(entries).join(heavy, ["kind", "value"], "left")

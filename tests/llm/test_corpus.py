@@ -124,6 +124,12 @@ def test_url_filter_intervals(spark):
     assert U.evaluate(c, e.limit(0)).where("decision <> 'none'").count() == 0 and U.evaluate(c.limit(0), e).count() == 0
 
 
+def test_url_filter_keys_of_any_depth(spark):
+    e = spark.createDataFrame([("prefix", "h.org/1/2/3/4/5/6/7", "block", "2024-01-01"), ("domain", "b.c.d.e.f.g.org", "block", "2024-01-01")], "kind string, value string, action string, effective string")
+    c = spark.createDataFrame([(1, "http://h.org/1/2/3/4/5/6/7/8", "2024-02-01"), (2, "http://h.org/1/2/3/4/5/6", "2024-02-01"), (3, "http://a.b.c.d.e.f.g.org/", "2024-02-01"), (4, "http://h.org", "2024-02-01")], "page_id long, url string, fetched string")
+    assert sorted((r["page_id"], r["decision"], r["kind"]) for r in U.evaluate(c, e).collect()) == [(1, "block", "prefix"), (2, "none", None), (3, "block", "domain"), (4, "none", None)]
+
+
 def test_registered_sql_covers_registered_queries():
     assert set(ORACLE_SQL) <= set(QUERIES) and [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
 
