@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -13,6 +12,8 @@ from tagsmith.deploy import ship
 
 #: A key that holds at least this share of the rows counts as heavy; so there are at most 1 / HEAVY_SHARE heavy keys.
 HEAVY_SHARE = 0.001
+#: Copies of a row that very many rows of the other side join.
+COPIES = 32
 #: Upper size of a bit filter: 2**27 bits are 16 MB, whatever the input.
 MAX_FILTER_BITS = 27
 
@@ -47,17 +48,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete tables made by ``staged`` that nothing reads any more.
-
-    The driver's collection that follows lets Spark's cleaner delete the shuffle files of the plans that wrote
-    them; otherwise they stay on the executors' disks until the driver happens to collect.
-    """
+    """Delete tables made by ``staged`` that nothing reads any more."""
     for df in frames:
         p, fs = _hadoop_path(df.sparkSession, df.staged_path)
         fs.delete(p, True)
-    if frames:
-        gc.collect()
-        frames[0].sparkSession._jvm.System.gc()
 
 
 def mapped(df: DataFrame, func, schema: str) -> DataFrame:
@@ -129,6 +123,34 @@ def attach(left: DataFrame, keyed: DataFrame, keys: list[str], weight: str, tota
     return out.select(*left.columns, *[F.coalesce(F.col(f"__heavy.{v}"), F.col(f"__light.{v}")).alias(v) for v in values])
 
 
+def hot_keys(df: DataFrame, key: str) -> list[int]:
+    """The values of key that hold at least HEAVY_SHARE of df's rows (and 256 of them): at most 1 / HEAVY_SHARE values."""
+    floor = max(256, int(df.count() * HEAVY_SHARE))
+    return [r[key] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= floor).select(key).collect()]
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """left inner join right (unique by key, with rows of any size); the hot keys of left are dealt to COPIES of right's row."""
+    if not hot:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(hot)
+    others = [c for c, t in left.dtypes if c != key and t == "bigint"]
+    salted = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*others), F.lit(COPIES))).otherwise(F.lit(0)).cast("long"))
+    copies = F.sequence(F.lit(0).cast("long"), F.when(is_hot, F.lit(COPIES - 1)).otherwise(F.lit(0)).cast("long"))
+    return salted.join(right.withColumn("__salt", F.explode(copies)), [key, "__salt"]).drop("__salt")
+
+
+def with_row_keys(docs: DataFrame, id_col: str, key: str) -> tuple[DataFrame, bool]:
+    """docs with a key of their own for each row, in the order of the ids, null ids last; and whether the ids serve as they are.
+
+    Only if ids are missing or repeated are rows written anew; otherwise the key is the id and only ids are shuffled to see it.
+    """
+    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where(F.col(id_col).isNull() | (F.col("__n") > 1))
+    if not odd.limit(1).count():
+        return docs.withColumn(key, F.col(id_col).cast("long")), True
+    return staged(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(key, F.monotonically_increasing_id()), "row-keys"), False
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of the undirected edges (a, b): component is the smallest node that links reach.
 
@@ -137,20 +159,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, f"{name}-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}-labels")
+    total = both.count()
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("b").alias("degree"))
+    labels = staged(first.select("node", F.least("node", "m").alias("component"), "degree"), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        spread = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
-        nxt = staged(spread.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), f"{name}-labels")
-        changed = nxt.where("component <> old").limit(1).count()
-        drop_staged(labels)
-        labels = nxt
+        # a node of very many links, or the label of a large component, is one key: attach deals those out
+        near = attach(both, labels.select(F.col("node").alias("b"), "component", "degree"), ["b"], "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        spread = labels.join(near, "node").select("node", "degree", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        spread = staged(spread, f"{name}-spread")
+        changed = spread.where("c <> old").limit(1).count()
         if not changed:
-            drop_staged(both)
+            drop_staged(both, spread)
             out = labels.select("node", "component")
             out.staged_path = labels.staged_path
             return out
+        held = spread.groupBy("c").agg(F.count("node").alias("weight"))
+        jump = held.join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c")
+        nxt = attach(spread, jump, ["c"], "weight", total).select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "degree")
+        nxt = staged(nxt, f"{name}-labels")
+        drop_staged(labels, spread)
+        labels = nxt
 
 
 def null_to_empty(c: str) -> Column:

@@ -9,23 +9,28 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    same pivot (class content) in that many of the C projected spaces, and each set is replicated to its cells. A set
    leaves out its smallest classes, all sizes up to the one up to which it has fewer than C - H classes: classes that
    agree have one size, so of two linked sets the one that leaves out more still keeps a class that agrees.
-2. Voronoi regions. Each cell's pivot document is its member in the densest cells, and the cells of one pivot p make
-   p's region; a document is replicated to the region of every cell that it is in. Every linked pair shares a region.
-   Each member's exact distance to p and its difference set D(x) = x ^ p are taken; near members link to p.
-3. Recursion. Regions whose members are one component are finished: more links there change nothing. In the others
-   the join is repeated on the difference sets, which keep all distances: x ^ y = D(x) ^ D(y). If D(x) and D(y) are
-   disjoint, then x & y is inside p and p inside x | y, so d(x, p) <= d(x, y): a linked pair is then linked to p
-   already. Any other linked pair has |x ^ y| <= h, and by the triangle inequality | |D(x)| - |D(y)| | <= h, so all
-   but h elements of either difference set are shared, and the first h + 1 elements of both, in one order, have a
-   common one. The order puts what p lacks first: many members lack the same shingle of p, few add the same one. Regions are divided by those elements; only they are
-   kept of a difference set, and the pairs that meet there are compared exactly by their own sets.
-
-Nothing is capped or compared approximately. Elements whose holders are one component are left out at once; of the
-others only the holders outside the element's largest component are paired, with the holders of other components.
+2. Pivots. Each cell's pivot document p is its member in the densest cells; all members are measured against it and
+   near ones link to it. Before any set is fetched, a pair is held against the triangle inequality in a smaller metric
+   space: the parity sketch of a set (how many of its elements fall on each of B bits, modulo 2) lies no further
+   from another's than the sets do, so a pair further apart there than linked sets may be is left out.
+3. Recursion. A cell whose members are one component is finished: more links there change nothing. Of a small open cell
+   the pairs from different components are measured. Of a large open one the members form the region of p, a member of
+   several cells being replicated to each one's region, and the join is repeated on the difference sets D(x) = x ^ p,
+   which keep all distances: x ^ y = D(x) ^ D(y). If D(x) and D(y) are disjoint, then x & y is inside p and p inside
+   x | y, so d(x, p) <= d(x, y): a linked pair is then linked to p already. Any other linked pair has |x ^ y| <= h, so
+   of the smaller difference set at most h / 2 elements and of the larger at most h are not shared (triangle
+   inequality): the first common element, in any order, is among the first h / 2 + 1 and h + 1. The order puts what p
+   lacks first: many members lack the same shingle of p, few add the same one. The members that hold such an
+   element are the cells of the next level, with pivots of their own.
+
+Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. After LEVELS divisions, which no
+test table reaches, the pairs from different components of cells that are still large are measured like those of small ones.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer
 than k words has its whole word sequence as its one shingle; identical sets are one class, represented by the
-smallest id; of rows that repeat an id, the one with the smallest text counts; other columns are ignored; an empty table gives an empty result.
+smallest id; of rows that repeat an id, the one with the smallest text counts; a row without an id cannot be named in a
+result and is left out (callers that must decide on such rows give them keys, see ``with_row_keys``); other columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,12 +42,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_staged, mapped, mix64, staged, table
+from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_staged, hot_keys, join_unique, mapped, mix64, staged, table
 from tagsmith.llm.words import chunks, rolling, word_table
 
 #: Size bands grow by the third power of the largest ratio of linked sizes; a pair of sizes is always inside one band or
 #: in the joint between two. Wider bands need more classes for their own pairs, narrower ones put more sets in joints.
 BAND_POWER = 3
+#: Cells of at most this many members are joined pair by pair, larger ones are divided, at most LEVELS times.
+SMALL, LEVELS = 16, 6
+#: Pivots' sets of at most so many bytes, by their counted sizes, are broadcast; larger ones are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -124,20 +133,39 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def _classes(k: int):
+def sketch_longs(n: int, num: int, den: int) -> int:
+    """Size of the parity sketch of a set of n: at least four bits for each element by which a linked set may differ."""
+    need = max(8, -(-n * (den - num) // num // 16))
+    return 1 << (need - 1).bit_length()
+
+
+def parity_sketch(s: np.ndarray, longs: int) -> np.ndarray:
+    """How many elements fall on each bit, modulo 2; a sketch of half the size is the xor of its halves."""
+    place = (mix64(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(64 * longs - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * longs) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def _classes(k: int, num: int, den: int):
     def run(batches):
         for b in batches:
-            n = np.zeros(b.num_rows, np.int64)
-            f = np.zeros((2, b.num_rows), np.int64)
-            for i, s in shingle_sets(b.column(1), k):
-                n[i], (f[0, i], f[1, i]) = len(s), _fingerprint(s)
-            yield pa.RecordBatch.from_arrays([pa.array(_ids(b)), pa.array(n), pa.array(f[0]), pa.array(f[1])], ["id", "n_shingles", "f1", "f2"])
+            for low in range(0, b.num_rows, 2000):
+                some = b.slice(low, 2000)
+                n = np.zeros(some.num_rows, np.int64)
+                f = np.zeros((2, some.num_rows), np.int64)
+                sketches: list[np.ndarray] = []
+                for i, s in shingle_sets(some.column(1), k):
+                    n[i], (f[0, i], f[1, i]) = len(s), _fingerprint(s)
+                    sketches.append(parity_sketch(s, sketch_longs(len(s), num, den)) if len(s) else np.zeros(0, np.int64))
+                ends = np.cumsum([0] + [len(x) for x in sketches]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(n), pa.array(f[0]), pa.array(f[1]), lists], ["row", "n", "f1", "f2", "sketch"])
 
     return run
 
 
 def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
-    """Rows (cell, f1), or with keep, rows (cell, f1, f2, id) of the cells that may be in it."""
+    """Rows (cell), or with keep, rows (cell, f1, f2, x) of the cells that may be in it."""
 
     def run(batches):
         for b in batches:
@@ -146,11 +174,10 @@ def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
 
             def out():
                 cell, n = np.concatenate(cells).view(np.int64), np.array([len(c) for c in cells])
-                cols = [pa.array(cell), pa.array(np.repeat(np.array(f1, np.int64), n))]
                 if keep is None:
-                    return pa.RecordBatch.from_arrays(cols, ["cell", "f1"])
-                cols += [pa.array(np.repeat(np.array(f2, np.int64), n)), pa.array(np.repeat(ids[rows], n))]
-                return pa.RecordBatch.from_arrays(cols, ["cell", "f1", "f2", "id"])
+                    return pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
+                cols = [pa.array(cell), *(pa.array(np.repeat(np.array(f, np.int64), n)) for f in (f1, f2)), pa.array(np.repeat(ids[rows], n))]
+                return pa.RecordBatch.from_arrays(cols, ["cell", "f1", "f2", "x"])
 
             for i, s in shingle_sets(b.column(1), k):
                 if not len(s):
@@ -160,8 +187,9 @@ def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
                     keys = keys[keep.test(keys)]
                     if not len(keys):
                         continue
-                a, c = _fingerprint(s)
-                cells.append(keys), rows.append(i), f1.append(a), f2.append(c)
+                    a, c = _fingerprint(s)
+                    rows.append(i), f1.append(a), f2.append(c)
+                cells.append(keys)
                 held += len(keys)
                 if held > 200_000:
                     yield out()
@@ -174,7 +202,9 @@ def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
     return run
 
 
-def _sets(k: int, keep: BitFilter):
+def _sets(k: int, keep: BitFilter, names: list[str]):
+    """Rows (row, shingles), under the given names, of the documents that may be in keep."""
+
     def run(batches):
         for b in batches:
             ids = _ids(b)
@@ -184,131 +214,207 @@ def _sets(k: int, keep: BitFilter):
                 sets = [s for _, s in shingle_sets(b.column(1).take(pa.array(some)), k)]
                 ends = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), lists], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), lists], names)
+
+    return run
+
+
+def _near(sizes: str, apart: str, num: int, den: int) -> str:
+    """Whether two sets of these sizes (a sum) that differ in so many elements are similar enough: exact in integers.
+
+    both = (sizes - apart) / 2, either = (sizes + apart) / 2.
+    """
+    return f"({sizes} - {apart}) * {den} >= ({sizes} + {apart}) * {num}"
+
+
+def sketches_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Bits by which two sketches differ, the larger one folded to the smaller: never more than the sets differ by."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b).sum())
+
+
+def _close(num: int, den: int):
+    """Rows (x, y, nx, ny, sx, sy) -> (x, y) of those whose sketches are as near as linked sets' are."""
+
+    def run(batches):
+        for b in batches:
+            nx, ny = (b.column(i).to_numpy() for i in (2, 3))
+            (va, sa), (vb, sb) = ((c.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(c.value_lengths().to_numpy()))) for c in (b.column(4), b.column(5)))
+            apart = np.array([sketches_apart(va[sa[i] : sa[i + 1]], vb[sb[i] : sb[i + 1]]) for i in range(b.num_rows)], np.int64)
+            keep = pa.array((nx + ny - apart) * den >= (nx + ny + apart) * num)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["x", "y"])
 
     return run
 
 
+class _Join:
+    """The join's parameters and the tables that all of its levels read."""
+
+    def __init__(self, docs: DataFrame, info: DataFrame, k: int, num: int, den: int):
+        self.docs, self.info, self.k, self.num, self.den = docs, info, k, num, den
+
+    def sizes_fit(self, a: str, b: str) -> str:
+        return f"least({a}, {b}) * {self.den} >= greatest({a}, {b}) * {self.num}"
+
+    def close(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (x, y), those that the sketches do not rule out; a written table."""
+        for c, hot in [(c, hot_keys(pairs, c)) for c in ("x", "y")]:
+            pairs = join_unique(pairs, self.info.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c, hot)
+        pairs = pairs.where(self.sizes_fit("nx", "ny")).select("x", "y", "nx", "ny", "sx", "sy")
+        return staged(mapped(pairs, _close(self.num, self.den), "x long, y long"), "jaccard-close")
+
+    def with_sets(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y, ...) with their shingles sx and sy; pairs is a written table, y its side of fewer documents."""
+        sides = []
+        for c in ("x", "y"):
+            ids = staged(mapped(pairs.select(c).distinct(), _hash_ids, f"{c} long, h long"), "jaccard-ids")
+            sets = mapped(self.docs, _sets(self.k, bit_filter(ids, "h"), [c, f"s{c}"]), f"{c} long, s{c} array<long>")
+            sides.append((c, ids, sets))
+        (_, xs, of_x), (_, ys, of_y) = sides
+        held = ys.join(self.info.select(F.col("row").alias("y"), "n"), "y").agg(F.sum("n")).first()[0] or 0
+        hot = hot_keys(pairs, "y")
+        pairs = join_unique(pairs, of_x, "x", hot_keys(pairs, "x"))
+        if 8 * held <= BROADCAST_BYTES:  # of_y may hold a few more documents, which the filter let through
+            return pairs.join(F.broadcast(of_y.join(ys.select("y"), "y", "left_semi")), "y")
+        return join_unique(pairs, of_y, "y", hot)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of the pairs (x, y), the linked ones as (a, b); a written table."""
+        pairs = staged(pairs.select("x", "y").distinct(), "jaccard-pairs")
+        close = self.close(pairs)
+        sizes, common = F.expr("size(sx) + size(sy)"), F.expr("size(array_intersect(sx, sy))")
+        got = self.with_sets(close).select("x", "y", sizes.alias("sizes"), (sizes - 2 * common).alias("apart"))
+        out = staged(got.where(_near("sizes", "apart", self.num, self.den)).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
+        drop_staged(pairs, close)
+        return out
+
+    def with_pivots(self, members: DataFrame) -> DataFrame:
+        """cell, x, p of the members (cell, x), a written table; of cells with the same members one stands for all."""
+        same = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
+        cells = members.groupBy("cell").agg(F.count("x").alias("size"), *same).where("size > 1")
+        cells = cells.groupBy("size", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "size", F.col("size").alias("members"))
+        rows = staged(attach(members, cells, ["cell"], "size", members.count()).where("members is not null"), "jaccard-cells")
+        score = rows.groupBy("x").agg(F.sum("members").alias("score"))
+        rank = F.shiftleft(F.col("score"), 16).bitwiseOR(F.xxhash64("x").bitwiseAND(F.lit(0xFFFF)))
+        pivots = rows.join(score, "x").groupBy("cell").agg(F.max_by("x", rank).alias("p"), F.count("x").alias("size"))
+        out = staged(attach(rows.select("cell", "x"), pivots, ["cell"], "size", rows.count()).where("x <> p"), "jaccard-regions")
+        drop_staged(rows)
+        return out
+
+    def open_cells(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
+        """cell, x, p, n, c (component), members of the cells that are not one component yet; a written table."""
+        tag = regions.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").join(self.info.select(F.col("row").alias("x"), "n"), "x")
+        tag = staged(tag.select("cell", "x", "p", "n", F.coalesce("component", "x").alias("c")), "jaccard-tagged")
+        shape = tag.groupBy("cell").agg(F.count("x").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        out = staged(attach(tag, shape.select("cell", "size", F.col("size").alias("members")), ["cell"], "size", tag.count()).where("members is not null"), "jaccard-open")
+        drop_staged(tag)
+        return out
+
+    def cross_pairs(self, cells: DataFrame) -> DataFrame:
+        """(x, y) of the cells' members in different components."""
+        a, b = cells.select("cell", "x", "n", "c").alias("a"), cells.select("cell", "x", "n", "c").alias("b")
+        met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & F.expr(f"a.x < b.x and a.c <> b.c and {self.sizes_fit('a.n', 'b.n')}"))
+        return met.select("a.x", F.col("b.x").alias("y"))
+
+    def divided(self, large: DataFrame) -> DataFrame:
+        """(cell, x) of the next level: members of a pivot's region by the leading elements of their difference sets."""
+        num, den = self.num, self.den
+        pairs = staged(large.select("x", F.col("p").alias("y"), "n").distinct(), "jaccard-regions")
+        far = self.with_sets(pairs).select("x", "y", "n", F.concat(F.array_sort(F.array_except("sx", "sy")), F.array_sort(F.array_except("sy", "sx"))).alias("diff"))
+        # of two linked sets, each has at most n (den - num) / num elements of their symmetric difference to spare
+        h = f"(n * {den - num} div {num})"
+        far = staged(far.select(F.col("y").alias("p"), "x", F.expr(h).alias("h"), F.expr(f"slice(diff, 1, cast({h} + 1 as int))").alias("first")), "jaccard-far")
+        shared = mapped(far, _elements(), "cell long, leads boolean").groupBy("cell").agg(F.count("leads").alias("holders"), F.max("leads").alias("leads"))
+        shared = staged(shared.where("holders > 1 and leads").select("cell"), "jaccard-shared")
+        held = mapped(far, _elements(bit_filter(shared, "cell")), "cell long, x long").join(shared, "cell", "left_semi").distinct()
+        out = staged(held.select("cell", "x"), "jaccard-members")
+        drop_staged(pairs, far, shared)
+        return out
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """Link documents whose k-word shingle sets have a Jaccard similarity of num / den or more.
 
     Returns id_col, n_shingles, component_id: the smallest id that links reach, the document's own included.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    info = staged(mapped(docs, _classes(k), "id long, n_shingles long, f1 long, f2 long"), "jaccard-classes")
-    if info.groupBy("id").count().where("count > 1").limit(1).count():  # only the ids are shuffled to see this
-        drop_staged(info)
-        docs = staged(docs.groupBy("id").agg(F.min("text").alias("text")), "jaccard-docs")
-        info = staged(mapped(docs, _classes(k), "id long, n_shingles long, f1 long, f2 long"), "jaccard-classes")
-
-    keys = mapped(docs, _cells(k, num, den), "cell long, f1 long")
-    cells = staged(keys.groupBy("cell").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("cell"), "jaccard-cells")
-    rows = mapped(docs, _cells(k, num, den, bit_filter(cells, "cell")), "cell long, f1 long, f2 long, id long")
-    rows = rows.groupBy("cell", "f1", "f2").agg(F.min("id").alias("x"))
-    members = staged(rows.join(cells, "cell").select("cell", "x"), "jaccard-members")
+    docs = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text")).where("row is not null")
+    if docs.groupBy("row").count().where("count > 1").limit(1).count():  # only the ids are shuffled to see this
+        docs = staged(docs.groupBy("row").agg(F.min("text").alias("text")), "jaccard-docs")
+    info = staged(mapped(docs, _classes(k, num, den), "row long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-classes")
+
+    join = _Join(docs, info, k, num, den)
+
+    cells = mapped(docs, _cells(k, num, den), "cell long").groupBy("cell").count().where("count > 1")
+    cells = staged(cells.select("cell"), "jaccard-shared")
+    rows = mapped(docs, _cells(k, num, den, bit_filter(cells, "cell")), "cell long, f1 long, f2 long, x long")
+    members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
     drop_staged(cells)
-    # many cells hold the same members: one of them stands for all
-    alike = members.groupBy("cell").agg(F.count("x").alias("n"), F.bit_xor(F.xxhash64("x", F.lit(2))).alias("s"), F.bit_xor(F.xxhash64("x", F.lit(1))).alias("t"))
-    alike = alike.where("n > 1").groupBy("n", "s", "t").agg(F.min("cell").alias("cell"))
-    regions = staged(members.join(alike.select("cell"), "cell").select("cell", "x"), "jaccard-regions")
-    # the pivot of a cell: the member whose cells hold most documents
-    size = regions.groupBy("cell").agg(F.count("x").alias("n"))
-    dense = regions.join(size, "cell").groupBy("x").agg(F.sum("n").alias("score"))
-    rank = F.shiftleft(F.col("score"), 16).bitwiseOR(F.xxhash64("x").bitwiseAND(F.lit(0xFFFF)))
-    pivots = regions.join(dense, "x").groupBy("cell").agg(F.max_by("x", rank).alias("p"))
-    reach = staged(regions.join(pivots, "cell").select("x", "p").distinct().where("x <> p"), "jaccard-reach")
-    # pivots are few, so their sets are made apart; the filters let a few more documents through, which join nothing
-    made = {c: mapped(docs, _sets(k, _id_filter(reach.select(c))), "id long, shingles array<long>").alias(f"s{c}") for c in ("p", "x")}
-    sp, sx = F.col("sp.shingles"), F.col("sx.shingles")
-    far = reach.join(made["p"], F.expr("p = sp.id")).join(made["x"], F.expr("x = sx.id"))
-    far = far.select("x", "p", F.size(sx).alias("n"), F.size(sp).alias("np"), F.concat(F.array_sort(F.array_except(sx, sp)), F.array_sort(F.array_except(sp, sx))).alias("diff"))
-    # n' <= n den / num, so h <= (n + n den / num) (den - num) / (den + num); no more of a difference set is needed
-    first = F.expr(f"slice(diff, 1, cast((n + n * {den} div {num} + 1) * {den - num} div {den + num} + 1 as int))")
-    far = staged(far.select("x", "p", "n", "np", F.size("diff").alias("d"), first.alias("first")), "jaccard-far")
-    drop_staged(members, regions, reach)
-
-    near = _near("n + np", "d", num, den)
-    links = far.where(near).select(F.col("x").alias("a"), F.col("p").alias("b"))
-    labels = components(links, "jaccard")
-    more = staged(_within_regions(docs, far, labels, k, num, den), "jaccard-links")
-    if more.limit(1).count():
-        drop_staged(labels)
-        labels = components(links.union(more), "jaccard")
-    drop_staged(far, more)
-
-    reps = info.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("id").alias("x"), F.count("id").alias("copies"))
-    reps = reps.join(labels, reps["x"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "x").alias("component_id"), "copies")
-    out = attach(info, reps, ["f1", "f2"], "copies", info.count())
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-
-
-def _id_filter(ids: DataFrame) -> BitFilter:
-    return bit_filter(mapped(ids.distinct(), _hash_ids, "h long"), "h")
+
+    links, labels, level = [], None, 0
+    while True:
+        regions = join.with_pivots(members)
+        drop_staged(members)
+        links.append(join.links(regions.select("x", F.col("p").alias("y"))))
+        labels = _relabelled(labels, links)
+        opened = join.open_cells(regions, labels)
+        drop_staged(regions)
+        level += 1
+        small = opened if level > LEVELS else opened.where(F.col("members") <= SMALL)
+        links.append(join.links(join.cross_pairs(small)))
+        large = opened.where(F.col("members") > SMALL)
+        if level > LEVELS or not large.limit(1).count():
+            drop_staged(opened)
+            break
+        members = join.divided(large)
+        drop_staged(opened)
+    labels = _relabelled(labels, links)
+    drop_staged(*links)
+
+    reps = info.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("x"), F.count("row").alias("copies"))
+    reps = reps.join(labels, reps["x"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "x").alias("component"), "copies")
+    out = attach(info.select("row", "n", "f1", "f2"), reps, ["f1", "f2"], "copies", info.count())
+    return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component_id"))
+
+
+def _relabelled(old: DataFrame | None, links: list[DataFrame]) -> DataFrame:
+    if old is not None:
+        drop_staged(old)
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.union(more)
+    return components(edges, "jaccard")
 
 
 def _hash_ids(batches):
     for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(mix64(_ids(b).view(np.uint64)).view(np.int64))], ["h"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(mix64(_ids(b).view(np.uint64)).view(np.int64))], [b.schema.names[0], "h"])
 
 
 def _elements(keep: BitFilter | None = None):
-    """Rows (p, x, c, n, d, first) -> (key, c) of each element, or with keep, (p, x, c, n, d, e) of those whose key is in it."""
+    """Rows (p, x, h, first) -> (cell, leads) of each element, or with keep, (cell, x) of those that may be in it.
+
+    leads: whether the element is among those that a smaller difference set must share.
+    """
 
     def run(batches):
         for b in batches:
-            lists = b.column(5)
+            lists = b.column(3)
             e = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            p, x, c, n, d = (b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(5))
-            key = mix64(mix64(e.view(np.uint64)) ^ p[row].view(np.uint64))
+            n = lists.value_lengths().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(b.num_rows), n)
+            p, x, h = (b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3))
+            cell = mix64(mix64(e.view(np.uint64)) ^ p[row].view(np.uint64))
             if keep is None:
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(c[row])], ["key", "c"])
+                leads = np.arange(len(row)) - (np.cumsum(n) - n)[row] <= h[row] // 2
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(leads)], ["cell", "leads"])
                 continue
-            at = keep.test(key)
-            row = row[at]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (p[row], x[row], c[row], n[row], d[row], e[at])], ["p", "x", "c", "n", "d", "e"])
+            at = keep.test(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(cell[at].view(np.int64)), pa.array(x[row[at]])], ["cell", "x"])
 
     return run
 
 
-def _near(sizes: str, apart: str, num: int, den: int) -> str:
-    """Whether two sets of these sizes (a sum) that differ in so many elements are similar enough: exact in integers.
-
-    both = (sizes - apart) / 2, either = (sizes + apart) / 2.
-    """
-    return f"({sizes} - {apart}) * {den} >= ({sizes} + {apart}) * {num}"
-
-
-def _within_regions(docs: DataFrame, far: DataFrame, labels: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) between members of a region that are not one component yet, by their difference sets."""
-    node = labels.select(F.col("node").alias("x"), "component")
-    tag = far.select("p", "x").join(node, "x", "left").select("p", "x", F.coalesce("component", "x").alias("c"))
-    # a region of one member besides its pivot, or of one component, has no open pair
-    shape = tag.groupBy("p").agg(F.count("x").alias("members"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("members > 1 and c0 <> c1").select("p")
-    open_ = staged(far.join(tag.join(shape, "p"), ["p", "x"]).select("p", "x", "c", "n", "d", "first"), "jaccard-open")
-    # elements that members of two components hold: by hash first, so that only those few are shuffled as rows
-    keys = mapped(open_.select("p", "x", "c", "n", "d", "first"), _elements(), "key long, c long").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    keys = staged(keys.where("lo <> hi").select("key"), "jaccard-shared")
-    held = staged(mapped(open_.select("p", "x", "c", "n", "d", "first"), _elements(bit_filter(keys, "key")), "p long, x long, c long, n long, d long, e long"), "jaccard-elements")
-    drop_staged(open_, keys)
-    by = held.groupBy("p", "e", "c").agg(F.count("x").alias("k"))
-    meets = by.groupBy("p", "e").agg(F.count("c").alias("cs"), F.max_by("c", "k").alias("top")).where("cs > 1").select("p", "e", "top")
-    held = staged(held.join(meets, ["p", "e"]), "jaccard-held")
-    a, b = held.where("c <> top").alias("a"), held.alias("b")
-    most = f"(a.n + b.n) * {den - num} div {den + num}"
-    sizes = f"least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
-    pairs = a.join(b, (F.col("a.p") == F.col("b.p")) & (F.col("a.e") == F.col("b.e"))).where(f"a.c <> b.c and (b.c = b.top or a.x < b.x) and abs(a.d - b.d) <= {most} and {sizes}")
-    # the same two may meet in several regions
-    pairs = staged(pairs.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y")).distinct(), "jaccard-pairs")
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("x"))
-    sets = staged(mapped(docs, _sets(k, _id_filter(ids)), "id long, shingles array<long>"), "jaccard-sets")
-    both = pairs.join(sets.alias("sx"), F.expr("x = sx.id")).join(sets.alias("sy"), F.expr("y = sy.id"))
-    sizes, common = F.expr("size(sx.shingles) + size(sy.shingles)"), F.expr("size(array_intersect(sx.shingles, sy.shingles))")
-    got = both.select("x", "y", sizes.alias("sizes"), (sizes - 2 * common).alias("apart"))
-    return got.where(_near("sizes", "apart", num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-
-
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity 0.9 or more, over the whole of documents."""
     return jaccard_join(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
