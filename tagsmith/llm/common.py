@@ -123,9 +123,9 @@ def attach(left: DataFrame, keyed: DataFrame, keys: list[str], weight: str, tota
     return out.select(*left.columns, *[F.coalesce(F.col(f"__heavy.{v}"), F.col(f"__light.{v}")).alias(v) for v in values])
 
 
-def hot_keys(df: DataFrame, key: str) -> list[int]:
+def hot_keys(df: DataFrame, key: str, rows: int) -> list[int]:
     """The values of key that hold at least HEAVY_SHARE of df's rows (and 256 of them): at most 1 / HEAVY_SHARE values."""
-    floor = max(256, int(df.count() * HEAVY_SHARE))
+    floor = max(256, int(rows * HEAVY_SHARE))
     return [r[key] for r in df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= floor).select(key).collect()]
 
 
@@ -159,26 +159,21 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = staged(both, f"{name}-edges")
-    total = both.count()
-    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"), F.count("b").alias("degree"))
-    labels = staged(first.select("node", F.least("node", "m").alias("component"), "degree"), f"{name}-labels")
+    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), f"{name}-labels")
     while True:
-        # a node of very many links, or the label of a large component, is one key: attach deals those out
-        near = attach(both, labels.select(F.col("node").alias("b"), "component", "degree"), ["b"], "degree", total).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        spread = labels.join(near, "node").select("node", "degree", F.least("component", "m").alias("c"), F.col("component").alias("old"))
-        spread = staged(spread, f"{name}-spread")
-        changed = spread.where("c <> old").limit(1).count()
+        # a node of very many links and the label of a large component are hot keys of joins with one row on the right: Spark splits those
+        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        spread = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
+        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("cc"))
+        nxt = staged(spread.join(jump, "c", "left").select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "old"), f"{name}-labels")
+        changed = nxt.where("component <> old").limit(1).count()
+        drop_staged(labels)
+        labels = nxt
         if not changed:
-            drop_staged(both, spread)
+            drop_staged(both)
             out = labels.select("node", "component")
             out.staged_path = labels.staged_path
             return out
-        held = spread.groupBy("c").agg(F.count("node").alias("weight"))
-        jump = held.join(labels.select(F.col("node").alias("c"), F.col("component").alias("cc")), "c")
-        nxt = attach(spread, jump, ["c"], "weight", total).select("node", F.least("c", F.coalesce("cc", "c")).alias("component"), "degree")
-        nxt = staged(nxt, f"{name}-labels")
-        drop_staged(labels, spread)
-        labels = nxt
 
 
 def null_to_empty(c: str) -> Column:

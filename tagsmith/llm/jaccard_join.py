@@ -23,8 +23,9 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    lacks first: many members lack the same shingle of p, few add the same one. The members that hold such an
    element are the cells of the next level, with pivots of their own.
 
-Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. After LEVELS divisions, which no
-test table reaches, the pairs from different components of cells that are still large are measured like those of small ones.
+Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. Division ends where the open cells'
+pairs are no more than PAIRS_PER_ROW times the rows of the first cells, so pairs grow like rows, or after LEVELS
+divisions; the pairs from different components that are left are measured all.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer
 than k words has its whole word sequence as its one shingle; identical sets are one class, represented by the
@@ -50,6 +51,8 @@ from tagsmith.llm.words import chunks, rolling, word_table
 BAND_POWER = 3
 #: Cells of at most this many members are joined pair by pair, larger ones are divided, at most LEVELS times.
 SMALL, LEVELS = 16, 6
+#: Division ends where all open cells together have at most so many pairs for each row of the first cells.
+PAIRS_PER_ROW = 1
 #: Pivots' sets of at most so many bytes, by their counted sizes, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -257,57 +260,64 @@ class _Join:
     def sizes_fit(self, a: str, b: str) -> str:
         return f"least({a}, {b}) * {self.den} >= greatest({a}, {b}) * {self.num}"
 
-    def close(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (x, y), those that the sketches do not rule out; a written table."""
-        for c, hot in [(c, hot_keys(pairs, c)) for c in ("x", "y")]:
-            pairs = join_unique(pairs, self.info.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c, hot)
+    def close(self, pairs: DataFrame, hot: list[int]) -> DataFrame:
+        """Of the pairs (x, y), those that the sketches do not rule out; a written table. hot: the y of very many pairs."""
+        for c, keys in (("x", []), ("y", hot)):
+            pairs = join_unique(pairs, self.info.select(F.col("row").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")), c, keys)
         pairs = pairs.where(self.sizes_fit("nx", "ny")).select("x", "y", "nx", "ny", "sx", "sy")
         return staged(mapped(pairs, _close(self.num, self.den), "x long, y long"), "jaccard-close")
 
-    def with_sets(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y, ...) with their shingles sx and sy; pairs is a written table, y its side of fewer documents."""
-        sides = []
-        for c in ("x", "y"):
-            ids = staged(mapped(pairs.select(c).distinct(), _hash_ids, f"{c} long, h long"), "jaccard-ids")
-            sets = mapped(self.docs, _sets(self.k, bit_filter(ids, "h"), [c, f"s{c}"]), f"{c} long, s{c} array<long>")
-            sides.append((c, ids, sets))
-        (_, xs, of_x), (_, ys, of_y) = sides
-        held = ys.join(self.info.select(F.col("row").alias("y"), "n"), "y").agg(F.sum("n")).first()[0] or 0
-        hot = hot_keys(pairs, "y")
-        pairs = join_unique(pairs, of_x, "x", hot_keys(pairs, "x"))
-        if 8 * held <= BROADCAST_BYTES:  # of_y may hold a few more documents, which the filter let through
-            return pairs.join(F.broadcast(of_y.join(ys.select("y"), "y", "left_semi")), "y")
-        return join_unique(pairs, of_y, "y", hot)
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of the pairs (x, y), the linked ones as (a, b); a written table."""
+    def sets(self, ids: DataFrame, c: str, rows: int) -> DataFrame:
+        """c, s<c>: shingles of the documents of ids (at most so many rows), and of a few more that the filter lets through."""
+        keep = bit_filter(mapped(ids, _hash_ids, "h long"), "h", rows)
+        return mapped(self.docs, _sets(self.k, keep, [c, f"s{c}"]), f"{c} long, s{c} array<long>")
+
+    def with_sets(self, pairs: DataFrame, rows: int, hot: list[int]) -> DataFrame:
+        """The pairs (x, y, ...) with their shingles sx and sy; pairs is a written table of so many rows, y its side of fewer documents."""
+        ys = staged(pairs.select("y").distinct().join(self.info.select(F.col("row").alias("y"), "n"), "y"), "jaccard-ids")
+        held, size = ys.agg(F.count("y"), F.sum("n")).first()
+        of_y = self.sets(ys.select("y"), "y", held)
+        both = join_unique(pairs, self.sets(pairs.select("x").distinct(), "x", rows), "x", [])
+        if 8 * (size or 0) <= BROADCAST_BYTES:
+            return both.join(F.broadcast(of_y.join(ys.select("y"), "y", "left_semi")), "y")
+        return join_unique(both, of_y, "y", hot)
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """Of the pairs (x, y), the linked ones as (a, b); a written table, or None if there are none to measure."""
         pairs = staged(pairs.select("x", "y").distinct(), "jaccard-pairs")
-        close = self.close(pairs)
+        hot = hot_keys(pairs, "y", pairs.count())
+        close = self.close(pairs, hot)
+        drop_staged(pairs)
+        rows = close.count()
+        if not rows:
+            return None
         sizes, common = F.expr("size(sx) + size(sy)"), F.expr("size(array_intersect(sx, sy))")
-        got = self.with_sets(close).select("x", "y", sizes.alias("sizes"), (sizes - 2 * common).alias("apart"))
+        got = self.with_sets(close, rows, hot).select("x", "y", sizes.alias("sizes"), (sizes - 2 * common).alias("apart"))
         out = staged(got.where(_near("sizes", "apart", self.num, self.den)).select(F.col("x").alias("a"), F.col("y").alias("b")), "jaccard-links")
-        drop_staged(pairs, close)
+        drop_staged(close)
         return out
 
     def with_pivots(self, members: DataFrame) -> DataFrame:
         """cell, x, p of the members (cell, x), a written table; of cells with the same members one stands for all."""
         same = [F.bit_xor(F.xxhash64("x", F.lit(i))).alias(f"s{i}") for i in (1, 2)]
         cells = members.groupBy("cell").agg(F.count("x").alias("size"), *same).where("size > 1")
-        cells = cells.groupBy("size", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "size", F.col("size").alias("members"))
-        rows = staged(attach(members, cells, ["cell"], "size", members.count()).where("members is not null"), "jaccard-cells")
-        score = rows.groupBy("x").agg(F.sum("members").alias("score"))
+        cells = cells.groupBy("size", "s1", "s2").agg(F.min("cell").alias("cell")).select("cell", "size")
+        rows = staged(members.join(cells, "cell"), "jaccard-cells")
+        score = rows.groupBy("x").agg(F.sum("size").alias("score"))
         rank = F.shiftleft(F.col("score"), 16).bitwiseOR(F.xxhash64("x").bitwiseAND(F.lit(0xFFFF)))
-        pivots = rows.join(score, "x").groupBy("cell").agg(F.max_by("x", rank).alias("p"), F.count("x").alias("size"))
-        out = staged(attach(rows.select("cell", "x"), pivots, ["cell"], "size", rows.count()).where("x <> p"), "jaccard-regions")
+        pivots = rows.join(score, "x").groupBy("cell").agg(F.max_by("x", rank).alias("p"))
+        out = staged(rows.select("cell", "x").join(pivots, "cell").where("x <> p"), "jaccard-regions")
         drop_staged(rows)
         return out
 
-    def open_cells(self, regions: DataFrame, labels: DataFrame) -> DataFrame:
+    def open_cells(self, regions: DataFrame, labels: DataFrame | None) -> DataFrame:
         """cell, x, p, n, c (component), members of the cells that are not one component yet; a written table."""
-        tag = regions.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").join(self.info.select(F.col("row").alias("x"), "n"), "x")
-        tag = staged(tag.select("cell", "x", "p", "n", F.coalesce("component", "x").alias("c")), "jaccard-tagged")
-        shape = tag.groupBy("cell").agg(F.count("x").alias("size"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        out = staged(attach(tag, shape.select("cell", "size", F.col("size").alias("members")), ["cell"], "size", tag.count()).where("members is not null"), "jaccard-open")
+        tag = regions.join(self.info.select(F.col("row").alias("x"), "n"), "x").withColumn("c", F.col("x"))
+        if labels is not None:
+            tag = tag.join(labels.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("c", F.coalesce("component", "c"))
+        tag = staged(tag.select("cell", "x", "p", "n", "c"), "jaccard-tagged")
+        shape = tag.groupBy("cell").agg(F.count("x").alias("members"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+        out = staged(tag.join(shape.select("cell", "members"), "cell"), "jaccard-open")
         drop_staged(tag)
         return out
 
@@ -321,7 +331,8 @@ class _Join:
         """(cell, x) of the next level: members of a pivot's region by the leading elements of their difference sets."""
         num, den = self.num, self.den
         pairs = staged(large.select("x", F.col("p").alias("y"), "n").distinct(), "jaccard-regions")
-        far = self.with_sets(pairs).select("x", "y", "n", F.concat(F.array_sort(F.array_except("sx", "sy")), F.array_sort(F.array_except("sy", "sx"))).alias("diff"))
+        rows = pairs.count()
+        far = self.with_sets(pairs, rows, hot_keys(pairs, "y", rows)).select("x", "y", "n", F.concat(F.array_sort(F.array_except("sx", "sy")), F.array_sort(F.array_except("sy", "sx"))).alias("diff"))
         # of two linked sets, each has at most n (den - num) / num elements of their symmetric difference to spare
         h = f"(n * {den - num} div {num})"
         far = staged(far.select(F.col("y").alias("p"), "x", F.expr(h).alias("h"), F.expr(f"slice(diff, 1, cast({h} + 1 as int))").alias("first")), "jaccard-far")
@@ -351,35 +362,42 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
     drop_staged(cells)
 
-    links, labels, level = [], None, 0
+    budget, links, labels, level = PAIRS_PER_ROW * members.count(), [], None, 0
     while True:
         regions = join.with_pivots(members)
         drop_staged(members)
-        links.append(join.links(regions.select("x", F.col("p").alias("y"))))
-        labels = _relabelled(labels, links)
+        near = join.links(regions.select("x", F.col("p").alias("y")))
+        if near is not None:
+            links.append(near)
+            labels = _relabelled(labels, links)
         opened = join.open_cells(regions, labels)
         drop_staged(regions)
-        level += 1
-        small = opened if level > LEVELS else opened.where(F.col("members") <= SMALL)
-        links.append(join.links(join.cross_pairs(small)))
-        large = opened.where(F.col("members") > SMALL)
-        if level > LEVELS or not large.limit(1).count():
-            drop_staged(opened)
-            break
-        members = join.divided(large)
+        pairs = opened.agg(F.sum(F.col("members") - 1)).first()[0] or 0
+        done = pairs <= 2 * budget or level == LEVELS
+        cross = join.links(join.cross_pairs(opened if done else opened.where(F.col("members") <= SMALL))) if pairs else None
+        if cross is not None:
+            links.append(cross)
+        if not done:
+            members, level = join.divided(opened.where(F.col("members") > SMALL)), level + 1
         drop_staged(opened)
-    labels = _relabelled(labels, links)
+        if done:
+            break
+    if cross is not None:
+        labels = _relabelled(labels, links)
     drop_staged(*links)
 
     reps = info.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("x"), F.count("row").alias("copies"))
-    reps = reps.join(labels, reps["x"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "x").alias("component"), "copies")
+    if labels is None:
+        reps = reps.withColumnRenamed("x", "component")
+    else:
+        reps = reps.join(labels, reps["x"] == labels["node"], "left").select("f1", "f2", F.coalesce("component", "x").alias("component"), "copies")
     out = attach(info.select("row", "n", "f1", "f2"), reps, ["f1", "f2"], "copies", info.count())
     return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component_id"))
 
 
 def _relabelled(old: DataFrame | None, links: list[DataFrame]) -> DataFrame:
     if old is not None:
-        drop_staged(old)
+        drop_staged(old)  # made again with the new links
     edges = links[0]
     for more in links[1:]:
         edges = edges.union(more)
