@@ -141,3 +141,19 @@ def test_heavy_keys_join(spark):
     right = left.groupBy("k").agg(F.min("id").alias("first"), F.count("id").alias("n"))
     got = attach(left, right, ["k"], "n", 2000).collect()
     assert len(got) == 2000 and all(r["first"] == r["k"] if r["k"] else r["first"] == 0 for r in got)
+
+
+def test_pipeline_stages_decide_by_row(spark, tmp_path):
+    rnd = random.Random(31)
+    item, near = prose(rnd, 40), prose(rnd, 120)
+    rows = [(1, "same text"), (8, "same text"), (8, "a unique text"), (2, "twice"), (2, "twice"), (None, "same text"), (None, None), (9, ""), (None, near + " end"), (3, near), (3, prose(rnd, 50)), (4, "x " + item), (4, "clean words")]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, id long, row long")
+    seen = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    want = lambda *gone: sorted([r for i, r in enumerate(rows) if i not in gone], key=str)
+    # 1, 5: copies of the first row; 4 repeats 3; 6 is empty like 7, which has an id; 8 nearly copies 9; 11 holds the item
+    assert seen(corpus_pipeline.dedup(spark, docs, "")) == want(1, 4, 5, 6)
+    kept = corpus_pipeline.dedup(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert seen(corpus_pipeline.near_dedup(spark, kept, "")) == want(1, 4, 5, 6, 8)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert seen(corpus_pipeline.decontaminate(spark, docs, str(tmp_path))) == want(11)
