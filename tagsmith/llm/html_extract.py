@@ -1,16 +1,19 @@
 """Main text of HTML pages by minimum cut.
 
 A page becomes blocks of text with their DOM paths. A linear classifier turns a block's features (elements and
-class names on its path, links, length) into costs of calling it content or boilerplate: the capacities of its edges
-to the two terminals. Blocks that follow each other, and blocks near each other in the DOM, are joined by smoothness edges.
+class names on its path, links, length) into a margin, and the margin, bounded by CERTAIN, into costs of calling it content or
+boilerplate: the capacities of its edges to the two terminals. Blocks that follow each other, and blocks near each other in the DOM, are joined by smoothness edges.
 The minimum cut of that graph is the cheapest labelling; blocks on the content side are the text, in page order.
 
 Nodes whose terminal outweighs all their smoothness edges are on its side in every minimum cut; they are folded
 into their neighbours' terminals first, and max-flow runs on what is left.
 
+Class words that name a place beside the text (sidebar, nav, ...) say nothing about an element that holds a main or an
+article, nor do names like has-sidebar or page-with-sidebar.
+
 Defined cases: null or empty html gives an empty text; text outside any element is a block of the body; unclosed and
-stray tags are repaired by nesting rules; ties of the cut go to boilerplate; pages of any size are taken whole; other columns
-are kept out; repeated rows are extracted each; an empty table gives an empty result.
+stray tags are repaired by nesting rules (body and text end an open head, blocks an open button or select); ties of the
+cut go to boilerplate; pages of any size and depth are taken whole, in time linear in their tags; other columns are kept out; repeated rows are extracted each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from html.parser import HTMLParser
+from math import tanh
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,66 +42,103 @@ _TOKEN = re.compile(r"[a-z]+|[0-9]+")
 _ELEMENTS = {"article": 3.0, "main": 2.5, "nav": -8.0, "aside": -8.0, "footer": -7.0, "form": -8.0, "dialog": -8.0, "menu": -6.0, "h1": 1.0, "h2": 0.6, "h3": 0.6, "p": 0.8, "blockquote": 0.6, "pre": 0.8, "figcaption": 0.3}
 _BAD = {*"ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar navigation navigationbar breadcrumb breadcrumbs footer cookie cookies consent gdpr notice alert alertdialog popup modal overlay comment comments disqus reply replies respond share sharing social related recommended subscribe newsletter signup login search widget toolbar pagination pager masthead complementary contentinfo".split()}
 _GOOD = {*"article content main post entry story body text maincontent".split()}
+#: Those of _BAD that name a place in a layout.
+_PLACES = {*"sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead banner sticky toolbar widget search ads ad".split()}
+#: Class names with one of these say what a layout has or lacks, not what the element is.
+_LAYOUT = {*"with has no without layout grid wrapper container page columns".split()}
+#: Elements whose start a head may hold; any other start ends it.
+_IN_HEAD = {*"head title meta link base script style noscript template".split()}
+_PHRASE_ONLY = {*"button select option datalist".split()}
+#: Bound of a block's terminal capacity, in the units of the edges.
+CERTAIN = 3.0
 #: Weight of edges between neighbours in the page, and of those to the last block with the same parent.
 ADJACENT, PROXIMITY = 0.9, 0.6
 
 
+class _Block:
+    __slots__ = ("links", "node", "parent", "tag", "text")
+
+    def __init__(self, text: str, node: int, parent: int, tag: str, links: float):
+        self.text, self.node, self.parent, self.tag, self.links = text, node, parent, tag, links
+
+
 class _Blocks(HTMLParser):
+    """Blocks of text, and the elements as arrays: parent, depth, own evidence, whether a main or an article is inside."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, float, bool, int]] = []  # tag, evidence, silent, id
-        self.blocks: list[tuple[str, float, tuple[int, ...], str, float]] = []
+        self.parent, self.depth, self.own, self.place, self.holds = [0], [0], [0.0], [0.0], [False]
+        self.stack: list[tuple[str, int, bool]] = []  # tag, element, silent
+        self.scopes: list[tuple[str, int, dict[str, int]]] = [("body", 0, {})]  # open blocks and the inline elements open in each
+        self.open: dict[str, int] = {}
+        self.blocks: list[_Block] = []
         self.parts: list[str] = []
-        self.linked = self.length = 0
-        self.links = self.serial = 0
+        self.linked = self.length = self.links = 0
 
     def _flush(self):
         text = _WHITE.sub(" ", "".join(self.parts)).strip()
         if text:
-            tag = next((t for t, *_ in reversed(self.stack) if t in _BLOCK), "body")
-            path = tuple(i for t, _, _, i in self.stack if t in _BLOCK)
-            evidence = self.stack[-1][1] if self.stack else 0.0
-            self.blocks.append((text, evidence, path, tag, self.linked / max(1, self.length)))
+            tag, node, _ = self.scopes[-1]
+            outer = self.scopes[-2][1] if len(self.scopes) > 1 else 0
+            self.blocks.append(_Block(text, self.stack[-1][1] if self.stack else 0, outer, tag, self.linked / max(1, self.length)))
         self.parts.clear()
         self.linked = self.length = 0
 
-    def _evidence(self, tag, attrs) -> float:
-        up = self.stack[-1][1] if self.stack else 0.0
-        inside = any(t in ("article", "main") for t, *_ in self.stack)
-        own = _ELEMENTS.get(tag, 0.0)
+    def _element(self, tag, attrs) -> int:
+        own, place = _ELEMENTS.get(tag, 0.0), 0.0
         if tag == "header":
-            own = 0.5 if inside else -7.0
+            own = 0.5 if self.open.get("article") or self.open.get("main") else -7.0
         if tag not in ("body", "html"):
-            names = [t for k, v in attrs if k in ("class", "id", "role") and v for t in _TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", v).lower())]
-            if any(n in _BAD for n in names):
-                own -= 8.0
-            elif any(n in _GOOD for n in names):
+            words = [_TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
+            bad = {w for ws in words if not _LAYOUT & {*ws} for w in ws if w in _BAD}
+            if bad:
+                own, place = own - 8.0, 8.0 if bad <= _PLACES else 0.0
+            elif any(w in _GOOD for ws in words for w in ws):
                 own += 1.0
             if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
-                own -= 8.0
-        return up + own
+                own, place = own - 8.0, 0.0
+            if tag in ("main", "article") and not bad:
+                i = self.stack[-1][1] if self.stack else 0
+                while i and not self.holds[i]:
+                    self.holds[i] = True
+                    i = self.parent[i]
+        up = self.stack[-1][1] if self.stack else 0
+        self.parent.append(up), self.depth.append(self.depth[up] + 1), self.own.append(own), self.place.append(place), self.holds.append(False)
+        return len(self.parent) - 1
 
     def _pop(self, at: int):
-        if any(t in _BLOCK for t, *_ in self.stack[at:]):
+        gone = self.stack[at:]
+        if any(t in _BLOCK for t, *_ in gone):
             self._flush()
-        for t, *_ in self.stack[at:]:
+        for t, *_ in reversed(gone):
             self.links -= t == "a"
+            self.open[t] -= 1
+            if t in _BLOCK:
+                self.scopes.pop()
+            else:
+                self.scopes[-1][2][t] -= 1
         del self.stack[at:]
 
+    def _close(self, tag: str):
+        """Pop up to the innermost open tag."""
+        at = len(self.stack) - 1
+        while self.stack[at][0] != tag:
+            at -= 1
+        self._pop(at)
+
     def handle_starttag(self, tag, attrs):
         if tag == "br" or tag in ("td", "th"):
             self.parts.append(" ")
+        if tag not in _IN_HEAD and self.open.get("head"):
+            self._close("head")
         if tag in _BLOCK:
             self._flush()
-        if tag in _CLOSES_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[i][0]
-                if t == "p":
-                    self._pop(i)
-                    break
-                if t in _BLOCK:
-                    break
-        if tag in _SAME:
+            for t in _PHRASE_ONLY:
+                if self.scopes[-1][2].get(t):
+                    self._close(t)
+        if tag in _CLOSES_P and self.scopes[-1][0] == "p":
+            self._close("p")
+        if tag in _SAME and self.open.get(tag):
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] == tag:
                     self._pop(i)
@@ -106,10 +147,16 @@ class _Blocks(HTMLParser):
                     break
         if tag in _VOID:
             return
-        self.serial += 1
         self.links += tag == "a"
         silent = tag in _SILENT or bool(self.stack and self.stack[-1][2])
-        self.stack.append((tag, self._evidence(tag, attrs), silent, self.serial))
+        node = self._element(tag, attrs)
+        self.stack.append((tag, node, silent))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in _BLOCK:
+            self.scopes.append((tag, node, {}))
+        else:
+            inline = self.scopes[-1][2]
+            inline[tag] = inline.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -117,17 +164,13 @@ class _Blocks(HTMLParser):
             self._pop(len(self.stack) - 1)
 
     def handle_endtag(self, tag):
-        if tag in _VOID:
-            return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
-            # an inline end tag does not close blocks
-            if tag not in _BLOCK and self.stack[i][0] in _BLOCK:
-                return
+        # an inline end tag does not close blocks
+        if tag not in _VOID and (self.open.get(tag) if tag in _BLOCK else self.scopes[-1][2].get(tag)):
+            self._close(tag)
 
     def handle_data(self, data):
+        if self.open.get("head") and self.stack[-1][0] == "head" and data.strip():
+            self._close("head")
         if self.stack and self.stack[-1][2]:
             return
         self.parts.append(data)
@@ -141,31 +184,37 @@ class _Blocks(HTMLParser):
         self._flush()
         return self.blocks
 
+    def evidence(self) -> list[float]:
+        """Of each element, that of its path; elements come after their parents."""
+        out = [0.0] * len(self.parent)
+        for i in range(1, len(out)):
+            out[i] = out[self.parent[i]] + self.own[i] + (self.place[i] if self.holds[i] else 0.0)
+        return out
 
-def _score(block) -> float:
+
+def _margin(block: _Block, path_evidence: float) -> float:
     """Evidence that a block is content: the classifier's margin."""
-    text, path_evidence, _, tag, links = block
-    size = min(len(text), 400) / 400
-    return path_evidence + 1.2 * size - 3.0 * links * (1 - 0.5 * size) - (0.8 if tag in ("li", "tr", "div", "body") and len(text) < 40 else 0.0) - 1.0
+    size = min(len(block.text), 400) / 400
+    few = 0.8 if block.tag in ("li", "tr", "div", "body") and len(block.text) < 40 else 0.0
+    return path_evidence + 1.2 * size - 3.0 * block.links * (1 - 0.5 * size) - few - 1.0
 
 
-def _edges(blocks) -> dict[tuple[int, int], float]:
+def _edges(page: _Blocks) -> dict[tuple[int, int], float]:
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for i, (_, _, path, _, _) in enumerate(blocks):
-        parent = path[-2] if len(path) > 1 else 0
+    for i, block in enumerate(page.blocks):
         if i:
-            before = blocks[i - 1][2]
-            shared = 0
-            for a, b in zip(path, before):
-                if a != b:
-                    break
-                shared += 1
-            out[i - 1, i] = ADJACENT / (1 + max(len(path), len(before)) - shared)
-        if parent in last:
-            e = (last[parent], i)
+            # steps up from either block to their common element; blocks come in page order, so all steps are at most two an element
+            a, b, up = page.blocks[i - 1].node, block.node, [0, 0]
+            while a != b:
+                deeper = page.depth[b] > page.depth[a]
+                a, b = (a, page.parent[b]) if deeper else (page.parent[a], b)
+                up[deeper] += 1
+            out[i - 1, i] = ADJACENT / (1 + max(up))
+        if block.parent in last:
+            e = (last[block.parent], i)
             out[e] = out.get(e, 0.0) + PROXIMITY
-        last[parent] = i
+        last[block.parent] = i
     return out
 
 
@@ -254,14 +303,20 @@ def _max_flow(need: list[float], edges: dict[tuple[int, int], float]) -> list[bo
                 graph[e[0]][e[2]][1] += flow
 
 
+def labelled(html: str) -> list[tuple[str, float, bool]]:
+    """(text, terminal capacity: positive for content, label) of each block of a page."""
+    page = _Blocks()
+    page.feed(html)
+    if not page.finish():
+        return []
+    paths = page.evidence()
+    need = [CERTAIN * tanh(_margin(b, paths[b.node]) / CERTAIN) for b in page.blocks]
+    kept = minimum_cut(need, _edges(page))
+    return [(b.text, x, k) for b, x, k in zip(page.blocks, need, kept, strict=True)]
+
+
 def main_text(html: str) -> str:
-    parser = _Blocks()
-    parser.feed(html)
-    blocks = parser.finish()
-    if not blocks:
-        return ""
-    kept = minimum_cut([_score(b) for b in blocks], _edges(blocks))
-    return "\n\n".join(b[0] for b, k in zip(blocks, kept, strict=True) if k)
+    return "\n\n".join(text for text, _, kept in labelled(html) if kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

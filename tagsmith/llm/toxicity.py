@@ -1,6 +1,7 @@
 """Compression-distance toxicity: windows of a text compress better with a dictionary of toxic or of ordinary text.
 
-Two zstandard dictionaries are trained from labelled texts. Both begin with the same common words, so that they
+Two zstandard dictionaries are made from labelled texts: dictionaries that zstandard's own trainer picks from the texts of each
+class were tried first and separate the classes badly (see the README), as most of what they hold is common to both. Both begin with the same common words, so that they
 serve ordinary language alike. The toxic one ends in the word forms and stems that toxic texts use far more often;
 the ordinary one ends in the same forms with those stems replaced by common ordinary ones, so that their endings
 help both alike. A window's evidence is its compressed length with the ordinary dictionary less that with the toxic
@@ -158,9 +159,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Train on at most ``rows`` labelled texts; near copies count once, or their own words would look toxic or ordinary."""
+    """Train on the labelled texts of the ``rows`` smallest id hashes (texts of one id count together); near copies count once, or their own words would look toxic or ordinary."""
     texts = labelled.where(f"{label_col} is not null").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("long").alias("toxic"), F.col(id_col).alias("id"))
-    texts = mapped(texts.orderBy(F.xxhash64("id"), "id").limit(rows).select("text", "toxic"), _kin, "text string, toxic long, kin long")
+    # the bound is found among hashes of ids; the texts stay in the tasks that read them
+    cut = texts.select(F.xxhash64("id").alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    texts = mapped(texts.where(F.xxhash64("id") <= F.lit(cut)).select("text", "toxic"), _kin, "text string, toxic long, kin long")
     texts = staged(texts.dropDuplicates(["kin"]).select("text", "toxic"), "toxic-train")
     n = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     toxic, ordinary = n.get(1, 0), n.get(0, 0)

@@ -2,6 +2,9 @@ import hashlib
 import itertools
 import random
 import re
+import time
+
+import pytest
 
 from tagsmith.llm import html_extract as H
 from tagsmith.llm import licenses as L
@@ -152,3 +155,37 @@ def test_main_text():
     assert H.main_text(page) == "T & U\n\nOne two three\n\nFour <b>\n\nx\n\ny"
     for odd in ("", "<", "<p", "</p></div>", "<!-- x", "<script>", "&amp", "\x00<p>\x00"):
         assert isinstance(H.main_text(odd), str)
+
+
+LONG = "Hello there, this is a long enough text to be kept as the main text of a page."
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        (f"<html><head><title>t</title><body><p>{LONG}", LONG),
+        (f"<html><head><title>t</title>{LONG} It goes on and on, as texts in a page do.", f"{LONG} It goes on and on, as texts in a page do."),
+        (f"<div><button>ok<p>{LONG}</p></div>", LONG),
+        (f'<div class="layout has-sidebar"><main><p>{LONG}</p></main></div>', LONG),
+        (f'<div id="page-with-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG}</p></div></div>', LONG),
+        (f'<div class="sidebar-left"><main><p>{LONG}</p></main></div>', LONG),
+        (f'<main><p>{LONG}</p><div class="comments"><article class="comment"><p>{LONG}</p></article></div></main>', LONG),
+    ],
+)
+def test_main_text_of_untidy_pages(html, want):
+    assert H.main_text(html) == want
+
+
+def test_cut_changes_labels():
+    page = f"<body><p>{LONG * 6}</p><div>Yes.</div><p>{LONG * 6}</p></body>"
+    found = H.labelled(page)
+    assert [x > 0 for _, x, _ in found] == [True, False, True] and all(k for *_, k in found)
+    alone = H.labelled("<body><div>Yes.</div></body>")
+    assert not alone[0][2]
+
+
+def test_deep_pages_take_linear_time():
+    for part in ("<div>x", "<b>x", "<ul><li>x", "<p>x<i>"):
+        begin = time.perf_counter()
+        H.main_text(part * 30_000)
+        assert time.perf_counter() - begin < 10
