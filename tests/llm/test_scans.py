@@ -164,7 +164,7 @@ LONG = "Hello there, this is a long enough text to be kept as the main text of a
     "html,want",
     [
         (f"<html><head><title>t</title><body><p>{LONG}", LONG),
-        (f"<html><head><title>t</title>{LONG} It goes on and on, as texts in a page do.", f"{LONG} It goes on and on, as texts in a page do."),
+        ("<html><head><title>t</title>" + " ".join([LONG] * 6), " ".join([LONG] * 6)),
         (f"<div><button>ok<p>{LONG}</p></div>", LONG),
         (f'<div class="layout has-sidebar"><main><p>{LONG}</p></main></div>', LONG),
         (f'<div id="page-with-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG}</p></div></div>', LONG),
