@@ -168,7 +168,10 @@ def _classes(k: int, num: int, den: int):
 
 
 def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
-    """Rows (cell), or with keep, rows (cell, f1, f2, x) of the cells that may be in it."""
+    """Rows (cell), or with keep, rows (cell, f1, f2, x) of the cells that may be in it.
+
+    The first kind only makes a filter, which takes fewer bits than the 32 of a cell's hash that are shuffled for it.
+    """
 
     def run(batches):
         for b in batches:
@@ -178,7 +181,7 @@ def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
             def out():
                 cell, n = np.concatenate(cells).view(np.int64), np.array([len(c) for c in cells])
                 if keep is None:
-                    return pa.RecordBatch.from_arrays([pa.array(cell)], ["cell"])
+                    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32))], ["cell"])
                 cols = [pa.array(cell), *(pa.array(np.repeat(np.array(f, np.int64), n)) for f in (f1, f2)), pa.array(np.repeat(ids[rows], n))]
                 return pa.RecordBatch.from_arrays(cols, ["cell", "f1", "f2", "x"])
 
@@ -356,7 +359,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     join = _Join(docs, info, k, num, den)
 
-    cells = mapped(docs, _cells(k, num, den), "cell long").groupBy("cell").count().where("count > 1")
+    cells = mapped(docs, _cells(k, num, den), "cell int").groupBy("cell").count().where("count > 1")
     cells = staged(cells.select("cell"), "jaccard-shared")
     rows = mapped(docs, _cells(k, num, den, bit_filter(cells, "cell")), "cell long, f1 long, f2 long, x long")
     members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
