@@ -24,8 +24,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    element are the cells of the next level, with pivots of their own.
 
 Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. Division ends where the open cells'
-pairs are no more than PAIRS_PER_ROW times the rows of the first cells, so pairs grow like rows, or after LEVELS
-divisions; the pairs from different components that are left are measured all.
+pairs are no more than PAIRS_PER_ROW times the rows of the first cells and PAIRS_PER_DOCUMENT times the documents, so
+pairs grow like the input, or after LEVELS divisions; the pairs from different components that are left are measured all.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer
 than k words has its whole word sequence as its one shingle; identical sets are one class, represented by the
@@ -51,8 +51,8 @@ from tagsmith.llm.words import chunks, rolling, word_table
 BAND_POWER = 3
 #: Cells of at most this many members are joined pair by pair, larger ones are divided, at most LEVELS times.
 SMALL, LEVELS = 16, 6
-#: Division ends where all open cells together have at most so many pairs for each row of the first cells.
-PAIRS_PER_ROW = 1
+#: Division ends where all open cells together have at most so many pairs for each row of the first cells and each document.
+PAIRS_PER_ROW, PAIRS_PER_DOCUMENT = 1, 8
 #: Pivots' sets of at most so many bytes, by their counted sizes, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -365,7 +365,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
     drop_staged(cells)
 
-    budget, links, labels, level = PAIRS_PER_ROW * members.count(), [], None, 0
+    budget, links, labels, level = PAIRS_PER_ROW * members.count() + PAIRS_PER_DOCUMENT * info.count(), [], None, 0
     while True:
         regions = join.with_pivots(members)
         drop_staged(members)
