@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagsmith.llm import exact_dedup as X
+from tagsmith.llm import jaccard_join as J
 from tagsmith.llm.jaccard_join import jaccard_join, schemes
 
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
@@ -99,3 +101,19 @@ def test_colliding_digests_are_told_apart_by_bytes(spark, monkeypatch):
 
 def test_exact_dedup_of_nothing(spark):
     assert X.exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_jaccard_join_divides_cells_again(spark, monkeypatch):
+    """Near copies of one text, most of them not linked to it, with every open cell divided until the last level."""
+    for name, value in (("PAIRS_PER_ROW", 0), ("PAIRS_PER_DOCUMENT", 0), ("SMALL", 1), ("LEVELS", 2)):
+        monkeypatch.setattr(J, name, value)
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        # sixteen words that every third copy changes alike, and some of its own
+        own = {j: f"o{i % 3}x{j}" for j in range(0, 32, 2)} | {j: f"n{i}x{j}" for j in rnd.sample(range(120), i % 4)}
+        rows.append((i, " ".join(own.get(j, w) for j, w in enumerate(base))))
+    rows.append((60, " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[0]: (r[1], r[2]) for r in jaccard_join(docs, k=5, num=4, den=5).collect()} == brute_groups(rows, 5, 4, 5)
