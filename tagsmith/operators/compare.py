@@ -84,6 +84,12 @@ def visual_diffs(line_rows: DataFrame, key: str = "pair_id") -> DataFrame:
     return one.unionByName(two.select(key, "d.type", "d.approval_text", "d.sample_text", "approval_line", "sample_line"))
 
 
+def line_mismatches(line_rows: DataFrame, key: str = "pair_id") -> DataFrame:
+    """The lines that differ as rows of a field table, named LINE n, without a score."""
+    rows = line_rows.where("status <> 'MATCH'")
+    return rows.select(key, F.concat(F.lit("LINE "), F.col("line").cast("string")).alias("field"), "approval", "sample", "status", F.lit(None).cast("double").alias("score"))
+
+
 def line_result(line_rows: DataFrame, key: str = "pair_id") -> DataFrame:
     """key, matched, mismatched, missing, extra, total, score."""
     out = line_rows.groupBy(key).agg(*counts(F.col("status"))[:4])

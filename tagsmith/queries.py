@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tagsmith import fixtures as X
@@ -297,6 +298,23 @@ def line_counts(spark, d):
     return compare.line_result(compare.compare_lines(X.label_pairs(spark, d)))
 
 
+@query()
+def line_mismatches(spark, d):
+    return compare.line_mismatches(compare.compare_lines(X.label_pairs(spark, d)))
+
+
+@query()
+def highlight_boxes(spark, d):
+    pairs = X.label_pairs(spark, d)
+    diffs = compare.visual_diffs(compare.compare_lines(pairs))
+    order = Window.partitionBy("pair_id").orderBy(F.coalesce("approval_line", "sample_line"), "type", "approval_text", "sample_text")
+    diffs = diffs.withColumn("diff_no", F.row_number().over(order) - 1)
+    lines = pairs.select("pair_id", F.posexplode(T.lines(F.col("atext"))).alias("line_index", "line"))
+    words = lines.select("pair_id", "line_index", F.posexplode(F.split("line", " ")).alias("word_index", "text"))
+    words = words.withColumns({"seq": F.expr("line_index * 1000 + word_index"), "x": F.expr("word_index * 60"), "y": F.expr("line_index * 40"), "w": F.expr("10 * length(text)"), "h": F.lit(20)})
+    return highlight.boxes(diffs, words, "approval", F.lit(800), F.lit(1200))
+
+
 @query()
 def char_diffs(spark, d):
     p = X.label_pairs(spark, d)
@@ -386,6 +404,40 @@ def y_cluster_lines(spark, d):
     return ocr.cluster_lines(X.label_words(spark, d))
 
 
+_RAW = """SELECT label_id, seq, CASE WHEN seq % 7 = 3 THEN '  ' WHEN seq % 5 = 0 THEN concat('  ', text, ' ') ELSE text END AS text,
+  CASE WHEN seq % 11 = 4 THEN '-1' WHEN seq % 13 = 5 THEN 'n/a' ELSE cast(confidence AS varchar(20)) END AS confidence,
+  CASE WHEN seq % 17 = 2 THEN '' ELSE cast(x AS varchar(20)) END AS x, cast(y AS varchar(20)) AS y, cast(w AS varchar(20)) AS w, cast(h AS varchar(20)) AS h FROM words"""
+
+
+@query(f"""WITH {_WORDS}, raw AS ({_RAW}), n AS (SELECT label_id, seq, {_squeeze('text')} AS text, round(greatest(coalesce(try_cast(confidence AS double), 0.0), 0.0), 2) AS confidence, coalesce(try_cast(x AS int), 0) AS x, CAST(y AS int) AS y, CAST(w AS int) AS w, CAST(h AS int) AS h FROM raw)
+SELECT *, x + w AS x2, y + h AS y2 FROM n WHERE text <> ''""")
+def ocr_words_clean(spark, d):
+    X.label_words(spark, d).createOrReplaceTempView("words")
+    return ocr.clean_words(spark.sql(_RAW))
+
+
+@query(f"""WITH {_WORDS}, raw AS (SELECT label_id, seq, text, confidence / 100 * 100 AS confidence, [x, x + w, x + w, x] AS xs, [y, y + 2, y + h + 2, y + h] AS ys FROM words),
+b AS (SELECT label_id, seq, {_squeeze('text')} AS text, round(confidence, 2) AS confidence, list_min(xs) AS x, list_min(ys) AS y, list_max(xs) AS x2, list_max(ys) AS y2 FROM raw WHERE confidence >= 25)
+SELECT *, x2 - x AS w, y2 - y AS h FROM b WHERE text <> ''""")
+def ocr_region_words(spark, d):
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    box = F.array(corner("x", "y"), corner("x + w", "y + 2"), corner("x + w", "y + h + 2"), corner("x", "y + h"))
+    return ocr.region_words(X.label_words(spark, d).select("label_id", "seq", "text", (F.col("confidence") / 100).alias("confidence"), box.alias("box")))
+
+
+@query(f"""WITH {_WORDS}, per AS (SELECT label_id, coalesce(round(avg(confidence) FILTER (confidence > 0), 2), 0.0) AS a, coalesce(round(avg(confidence) FILTER (confidence > 0 AND seq % 2 = 0), 2), 0.0) AS b FROM words GROUP BY label_id),
+e AS (SELECT label_id, CASE WHEN label_id % 3 <> 0 THEN a END AS a, CASE WHEN label_id % 2 = 0 THEN b END AS b FROM per WHERE label_id % 3 <> 0 OR label_id % 2 = 0)
+SELECT label_id, CASE WHEN a IS NOT NULL THEN 'tesseract' ELSE 'easyocr' END AS engine, round_even(CASE WHEN a > 0 AND b > 0 THEN (a + b) / 2 WHEN a > 0 THEN a WHEN b > 0 THEN b ELSE 0.0 END, 1) AS confidence FROM e""")
+def engine_choice(spark, d):
+    words = X.label_words(spark, d)
+    return ocr.choose_engine(words.where("label_id % 3 <> 0"), words.where("label_id % 2 = 0 and seq % 2 = 0"))
+
+
+@query(ORACLE_SQL["pdf_escape"].replace("FROM pages", f"FROM pages WHERE {_strip(_text('html'))} <> ''"))
+def report_ocr_text(spark, d):
+    return report.ocr_text(X.table(spark, d, "pages"), "page_id", "html")
+
+
 # --- logo ----------------------------------------------------------------------------------------------------
 
 _PIX = f"pix AS ({X.LABEL_PIXELS_DUCK})"

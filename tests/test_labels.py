@@ -238,3 +238,31 @@ def test_highlight_and_report(spark):
     rows = spark.createDataFrame([(1, "SIZE", "a<b", "", "MISSING", 0.0)], "pair_id int, field string, approval string, sample string, status string, score double")
     shown = report.field_comparison(spark.createDataFrame([(1,), (2,)], "pair_id int"), rows).collect()
     assert {(r["pair_id"], r["field"]) for r in shown} == {(1, "SIZE"), (2, "No comparable fields found.")}
+
+
+def test_boxes_of_differences(spark):
+    words = spark.createDataFrame(
+        [(1, 0, 0, 0, "QTY:", 0, 10, 40, 20), (1, 0, 1, 1, "5", 60, 10, 10, 20), (1, 0, 2, 2, "5", 90, 10, 10, 20), (1, 1, 0, 3, "RED", 0, 50, 30, 20), (1, 1, 1, 4, "CAP", 60, 50, 30, 20)],
+        "pair_id long, line_index int, word_index int, seq int, text string, x int, y int, w int, h int",
+    )
+    diffs = spark.createDataFrame(
+        [(1, 0, "replace", "5", "6", 0, 0), (1, 1, "delete", "5", "", 0, None), (1, 2, "delete", "CAP", "", None, None), (1, 3, "insert", "", "NEW", None, 2), (1, 4, "delete", "BLUE", "", 1, None), (2, 0, "delete", "5", "", 0, None)],
+        "pair_id long, diff_no int, type string, approval_text string, sample_text string, approval_line int, sample_line int",
+    )
+    got = {(r["diff_no"], r["color"], r["label"], r["x1"], r["y1"], r["x2"], r["y2"]) for r in highlight.boxes(diffs, words, "approval", F.lit(100), F.lit(60)).collect()}
+    # both differences of line 0 choose the first 5; CAP has no line and is found anywhere, cut at the image's edge
+    assert got == {(0, "RED", "CHANGE", 57, 7, 73, 33), (1, "ORANGE", "MISSING", 57, 7, 73, 33), (2, "ORANGE", "MISSING", 57, 47, 93, 59)}
+
+
+def test_line_mismatches(spark):
+    p = spark.createDataFrame([(1, "A\nB 1\nC", "A\nB 2"), (2, "A", "A")], "pair_id long, atext string, stext string")
+    got = {(r["pair_id"], r["field"], r["approval"], r["sample"], r["status"], r["score"]) for r in compare.line_mismatches(compare.compare_lines(p)).collect()}
+    assert {x[:2] + x[4:] for x in got} == {(1, "LINE 2", "MISMATCH", None), (1, "LINE 3", "MISSING", None)}
+
+
+def test_engines(spark):
+    raw = spark.createDataFrame([("1", " A ", "-1", "x", "2", "3", None), ("1", "  ", "9", "1", "1", "1", "1")], "label_id string, text string, confidence string, x string, y string, w string, h string")
+    assert [tuple(r[c] for c in ("text", "confidence", "x", "y", "x2", "y2")) for r in ocr.clean_words(raw).collect()] == [("A", 0.0, 0, 2, 3, 2)]
+    a = spark.createDataFrame([(1, 80.0), (3, 0.0)], "label_id long, confidence double")
+    b = spark.createDataFrame([(1, 40.0), (2, 50.0)], "label_id long, confidence double")
+    assert {tuple(r) for r in ocr.choose_engine(a, b).collect()} == {(1, "tesseract", 60.0), (2, "easyocr", 50.0), (3, "tesseract", 0.0)}
