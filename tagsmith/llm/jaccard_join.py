@@ -21,10 +21,11 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <
    of the smaller difference set at most h / 2 elements and of the larger at most h are not shared (triangle
    inequality): the first common element, in any order, is among the first h / 2 + 1 and h + 1. The order puts what p
    lacks first: many members lack the same shingle of p, few add the same one. The members that hold such an
-   element are the cells of the next level, with pivots of their own.
+   element are the cells of the next level. If the pairs that these cells allow at most are within the bound below, the
+   members meet by the places of the element in their difference sets; else the join recurs with the cells' own pivots.
 
-Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. Division ends where the open cells'
-pairs are no more than PAIRS_PER_ROW times the rows of the first cells and PAIRS_PER_DOCUMENT times the documents, so
+Nothing is capped or compared approximately; sets are sets of 64-bit shingle hashes. Division ends where the open cells
+allow no more pairs than PAIRS_PER_ROW times the rows of the first cells and PAIRS_PER_DOCUMENT times the documents, so
 pairs grow like the input, or after LEVELS divisions; the pairs from different components that are left are measured all.
 
 Defined cases: null, empty or blank text has the empty set, n_shingles 0, and is linked with nothing; a text of fewer
@@ -37,6 +38,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -330,20 +332,42 @@ class _Join:
         met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & F.expr(f"a.x < b.x and a.c <> b.c and {self.sizes_fit('a.n', 'b.n')}"))
         return met.select("a.x", F.col("b.x").alias("y"))
 
+    def placed_pairs(self, held: DataFrame) -> DataFrame:
+        """(x, y) of the holders (cell, x, n, c, d, place) in different components whose places allow a link.
+
+        Nothing before the first common element is shared, and of |x ^ y| <= h elements (h + d(x) - d(y)) / 2 are x's.
+        """
+        cols = ["cell", "x", "n", "c", "d", "place"]
+        a, b = held.where("leads").select(*cols).alias("a"), held.select(*cols).alias("b")
+        h = f"((a.n + b.n) * {self.den - self.num} div {self.den + self.num})"
+        # the smaller difference set leads; of two that are as large, the smaller row
+        roles = "(a.d < b.d or a.d = b.d and a.x < b.x) and a.c <> b.c"
+        places = f"2 * a.place <= {h} + a.d - b.d and 2 * b.place <= {h} + b.d - a.d"
+        met = a.join(b, (F.col("a.cell") == F.col("b.cell")) & F.expr(f"{roles} and {places} and {self.sizes_fit('a.n', 'b.n')}"))
+        return met.select(F.least("a.x", "b.x").alias("x"), F.greatest("a.x", "b.x").alias("y"))
+
     def divided(self, large: DataFrame) -> DataFrame:
-        """(cell, x) of the next level: members of a pivot's region by the leading elements of their difference sets."""
+        """Cells of the next level: members of a pivot's region by the leading elements of their difference sets.
+
+        cell, x, n, c, d (size of the difference set), place (of the element in it), leads, members; a written table.
+        """
         num, den = self.num, self.den
-        pairs = staged(large.select("x", F.col("p").alias("y"), "n").distinct(), "jaccard-regions")
+        pairs = staged(large.select("x", F.col("p").alias("y"), "n", "c").distinct(), "jaccard-regions")
         rows = pairs.count()
-        far = self.with_sets(pairs, rows, hot_keys(pairs, "y", rows)).select("x", "y", "n", F.concat(F.array_sort(F.array_except("sx", "sy")), F.array_sort(F.array_except("sy", "sx"))).alias("diff"))
+        far = self.with_sets(pairs, rows, hot_keys(pairs, "y", rows))
+        far = far.select("x", "y", "n", "c", F.concat(F.array_sort(F.array_except("sx", "sy")), F.array_sort(F.array_except("sy", "sx"))).alias("diff"))
         # of two linked sets, each has at most n (den - num) / num elements of their symmetric difference to spare
         h = f"(n * {den - num} div {num})"
-        far = staged(far.select(F.col("y").alias("p"), "x", F.expr(h).alias("h"), F.expr(f"slice(diff, 1, cast({h} + 1 as int))").alias("first")), "jaccard-far")
-        shared = mapped(far, _elements(), "cell long, leads boolean").groupBy("cell").agg(F.count("leads").alias("holders"), F.max("leads").alias("leads"))
+        far = far.select(F.col("y").alias("p"), "x", F.expr(h).alias("h"), F.expr(f"slice(diff, 1, cast({h} + 1 as int))").alias("first"), "n", "c", F.size("diff").cast("long").alias("d"))
+        far = staged(far, "jaccard-far")
+        # counted by 32 bits of a cell's hash, enough for the filter; cells are told apart whole below
+        shared = mapped(far, _elements(), "cell int, leads boolean").groupBy("cell").agg(F.count("leads").alias("holders"), F.max("leads").alias("leads"))
         shared = staged(shared.where("holders > 1 and leads").select("cell"), "jaccard-shared")
-        held = mapped(far, _elements(bit_filter(shared, "cell")), "cell long, x long").join(shared, "cell", "left_semi").distinct()
-        out = staged(held.select("cell", "x"), "jaccard-members")
-        drop_staged(pairs, far, shared)
+        held = mapped(far, _elements(bit_filter(shared, "cell")), "cell long, x long, n long, c long, d long, place long, leads boolean")
+        held = staged(held, "jaccard-held")
+        shape = held.groupBy("cell").agg(F.count("x").alias("members"), F.max("leads").alias("led"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+        out = staged(held.join(shape.where("lo <> hi and led").select("cell", "members"), "cell"), "jaccard-members")
+        drop_staged(pairs, far, shared, held)
         return out
 
 
@@ -365,29 +389,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
     drop_staged(cells)
 
-    budget, links, labels, level = PAIRS_PER_ROW * members.count() + PAIRS_PER_DOCUMENT * info.count(), [], None, 0
+    budget = PAIRS_PER_ROW * members.count() + PAIRS_PER_DOCUMENT * info.count()
+    labels, level, last = None, 0, []
     while True:
         regions = join.with_pivots(members)
         drop_staged(members)
-        near = join.links(regions.select("x", F.col("p").alias("y")))
-        if near is not None:
-            links.append(near)
-            labels = _relabelled(labels, links)
+        labels = _relabelled(labels, join.links(regions.select("x", F.col("p").alias("y"))))
         opened = join.open_cells(regions, labels)
         drop_staged(regions)
-        pairs = opened.agg(F.sum(F.col("members") - 1)).first()[0] or 0
-        done = pairs <= 2 * budget or level == LEVELS
-        cross = join.links(join.cross_pairs(opened if done else opened.where(F.col("members") <= SMALL))) if pairs else None
-        if cross is not None:
-            links.append(cross)
-        if not done:
-            members, level = join.divided(opened.where(F.col("members") > SMALL)), level + 1
+        pairs = (opened.agg(F.sum(F.col("members") - 1)).first()[0] or 0) // 2
+        if pairs <= budget:
+            last.append(staged(join.cross_pairs(opened), "jaccard-open"))
+            drop_staged(opened)
+            break
+        last.append(staged(join.cross_pairs(opened.where(F.col("members") <= SMALL)), "jaccard-open"))
+        members = join.divided(opened.where(F.col("members") > SMALL))
         drop_staged(opened)
-        if done:
+        level += 1
+        pairs = members.where("leads").agg(F.sum(F.col("members") - 1)).first()[0] or 0
+        if pairs <= budget or level == LEVELS:
+            last.append(staged(join.placed_pairs(members), "jaccard-open"))
+            drop_staged(members)
             break
-    if cross is not None:
-        labels = _relabelled(labels, links)
-    drop_staged(*links)
+    labels = _relabelled(labels, join.links(reduce(DataFrame.union, last)))
+    drop_staged(*last)
 
     reps = info.where("n > 0").groupBy("f1", "f2").agg(F.min("row").alias("x"), F.count("row").alias("copies"))
     if labels is None:
@@ -398,13 +423,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("row").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "row").alias("component_id"))
 
 
-def _relabelled(old: DataFrame | None, links: list[DataFrame]) -> DataFrame:
+def _relabelled(old: DataFrame | None, links: DataFrame | None) -> DataFrame | None:
+    """Labels (node, component) of the links and of what the old labels joined."""
+    if links is None:
+        return old
+    edges = links
     if old is not None:
-        drop_staged(old)  # made again with the new links
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    return components(edges, "jaccard")
+        edges = links.union(old.where("node <> component").select("node", "component"))
+    out = components(edges, "jaccard")
+    drop_staged(links, *([old] if old is not None else []))
+    return out
 
 
 def _hash_ids(batches):
@@ -413,25 +441,29 @@ def _hash_ids(batches):
 
 
 def _elements(keep: BitFilter | None = None):
-    """Rows (p, x, h, first) -> (cell, leads) of each element, or with keep, (cell, x) of those that may be in it.
+    """Rows (p, x, h, first, n, c, d) -> (cell, leads) of each element, or with keep, (cell, x, n, c, d, place, leads) of those that may be in it.
 
     leads: whether the element is among those that a smaller difference set must share.
     """
 
     def run(batches):
         for b in batches:
-            lists = b.column(3)
-            e = lists.flatten().to_numpy(zero_copy_only=False)
-            n = lists.value_lengths().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(b.num_rows), n)
-            p, x, h = (b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(3))
-            cell = mix64(mix64(e.view(np.uint64)) ^ p[row].view(np.uint64))
-            if keep is None:
-                leads = np.arange(len(row)) - (np.cumsum(n) - n)[row] <= h[row] // 2
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(leads)], ["cell", "leads"])
-                continue
-            at = keep.test(cell)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[at].view(np.int64)), pa.array(x[row[at]])], ["cell", "x"])
+            for low in range(0, b.num_rows, 1000):
+                some = b.slice(low, 1000)
+                lists = some.column(3)
+                e = lists.flatten().to_numpy(zero_copy_only=False)
+                size = lists.value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(some.num_rows), size)
+                p, x, h, n, c, d = (some.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5, 6))
+                cell = mix64(mix64(e.view(np.uint64)) ^ p[row].view(np.uint64))
+                place = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+                leads = place <= h[row] // 2
+                if keep is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64).astype(np.int32)), pa.array(leads)], ["cell", "leads"])
+                    continue
+                at = keep.test(cell)
+                cols = [cell[at].view(np.int64), *(v[row[at]] for v in (x, n, c, d)), place[at], leads[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["cell", "x", "n", "c", "d", "place", "leads"])
 
     return run
 
