@@ -11,6 +11,7 @@ from tagsmith.llm.packing import op8_pack_concat_cut
 from tagsmith.llm.secrets import op4_guess_cost_secrets
 from tagsmith.llm.toxicity import op10_compression_toxicity
 from tagsmith.llm.url_filters import OP9_SQL, op9_temporal_url_filter
+from tagsmith.llm.vector_codes import OP11_SQL, op11_yinyang_codes
 from tagsmith.llm.warc import OP7_SQL, op7_seekable_warc
 
 QUERIES = {
@@ -26,7 +27,8 @@ QUERIES = {
         op8_pack_concat_cut,
         op9_temporal_url_filter,
         op10_compression_toxicity,
+        op11_yinyang_codes,
     )
 }
 
-ORACLE_SQL = {"op5_lsm_dedup": OP5_SQL, "op7_seekable_warc": OP7_SQL, "op9_temporal_url_filter": OP9_SQL}
+ORACLE_SQL = {"op5_lsm_dedup": OP5_SQL, "op7_seekable_warc": OP7_SQL, "op9_temporal_url_filter": OP9_SQL, "op11_yinyang_codes": OP11_SQL}
