@@ -8,7 +8,9 @@ from tagsmith.llm.html_extract import op6_mincut_extraction
 from tagsmith.llm.jaccard_join import op3_jaccard_join
 from tagsmith.llm.licenses import op2_license_compression
 from tagsmith.llm.packing import op8_pack_concat_cut
+from tagsmith.llm.pii import op12_personal_data
 from tagsmith.llm.secrets import op4_guess_cost_secrets
+from tagsmith.llm.token_alignment import op13_token_alignment
 from tagsmith.llm.toxicity import op10_compression_toxicity
 from tagsmith.llm.url_filters import OP9_SQL, op9_temporal_url_filter
 from tagsmith.llm.vector_codes import OP11_SQL, op11_yinyang_codes
@@ -28,6 +30,8 @@ QUERIES = {
         op9_temporal_url_filter,
         op10_compression_toxicity,
         op11_yinyang_codes,
+        op12_personal_data,
+        op13_token_alignment,
     )
 }
 

@@ -22,7 +22,7 @@ _SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _OTHER = re.compile("[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e]")
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
     own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     rest = iter(range(256, 512))
@@ -71,7 +71,7 @@ class _Words(dict):
 class _Pieces(dict):
     def __init__(self, tokenizer):
         super().__init__()
-        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.model, self.letters = tokenizer.model, byte_letters()
 
     def __missing__(self, piece: str) -> bytes:
         spelt = "".join(map(self.letters.__getitem__, piece.encode()))
