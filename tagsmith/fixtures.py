@@ -96,3 +96,39 @@ def barcodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(BARCODES_SQL)
 
 
+
+
+#: Raw tokens of nine OCR calls a label (four variants by two page modes of the first engine, one call of the second), each
+#: with a quarter of the words; c is the call's number. The same text in both engines but for the list of calls.
+_TOKEN_COLUMNS = """SELECT label_id, CASE WHEN c < 8 THEN 'tesseract' ELSE 'easyocr' END AS engine, cast(CASE WHEN c < 8 THEN (c - c % 2) / 2 ELSE 0 END AS int) AS variant_ord,
+  cast(CASE WHEN c < 8 THEN c % 2 ELSE 0 END AS int) AS psm_ord, seq, CASE WHEN (seq + c) % 13 = 2 THEN '  ' ELSE text END AS text,
+  CASE WHEN c = 8 THEN cast(cast((seq * 29 + label_id) % 101 AS double) / 100 AS varchar(30)) WHEN (seq + c) % 11 = 4 THEN '-1' ELSE cast((seq * 37 + label_id + c * 13) % 101 AS varchar(30)) END AS confidence,
+  cast(x AS varchar(20)) AS x, cast(y AS varchar(20)) AS y, cast(w AS varchar(20)) AS w, cast(h AS varchar(20)) AS h, block_num, par_num, line_num FROM """
+_KEPT = "(seq + label_id + c * 2) % 4 = 0"
+OCR_TOKENS_DUCK = _TOKEN_COLUMNS + f"(SELECT *, unnest(list_filter(range(9), lambda c: {_KEPT})) AS c FROM ({LABEL_WORDS_DUCK}))"
+
+
+def ocr_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "documents")
+    return spark.sql(_TOKEN_COLUMNS + f"(SELECT *, explode(filter(sequence(0, 8), c -> {_KEPT})) AS c FROM ({LABEL_WORDS_SQL}))".replace("\\", "\\\\"))
+
+
+#: Each label's nine calls: the first engine is away for every tenth label, and single calls time out.
+_CALL_COLUMNS = """SELECT label_id, CASE WHEN c < 8 THEN 'tesseract' ELSE 'easyocr' END AS engine, cast(CASE WHEN c < 8 THEN (c - c % 2) / 2 ELSE 0 END AS int) AS variant_ord,
+  cast(CASE WHEN c < 8 THEN c % 2 ELSE 0 END AS int) AS psm_ord, NOT (c < 8 AND label_id % 10 = 3) AND (label_id + c) % 7 <> 0 AS available,
+  CASE WHEN c < 8 AND label_id % 10 = 3 THEN 'engine is not installed' WHEN (label_id + c) % 7 = 0 THEN concat('call ', cast(c AS varchar(9)), ' timed out') END AS error FROM """
+OCR_CALLS_DUCK = _CALL_COLUMNS + "(SELECT doc_id AS label_id, unnest(range(9)) AS c FROM documents)"
+
+
+def ocr_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "documents")
+    return spark.sql(_CALL_COLUMNS + "(SELECT doc_id AS label_id, explode(sequence(0, 8)) AS c FROM documents)")
+
+
+#: Sizes of the image that was read and of the source image.
+OCR_IMAGES_SQL = "SELECT doc_id AS label_id, cast(400 + doc_id % 3 * 100 AS int) AS ocr_w, 400000 AS ocr_h, 600 AS image_w, 300000 AS image_h FROM documents"
+
+
+def ocr_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    load(spark, sf_dir, "documents")
+    return spark.sql(OCR_IMAGES_SQL)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ def _opcodes(a, b):
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    out = np.full(len(a), np.nan)
+    for i in np.flatnonzero((a.notna() & b.notna()).to_numpy()):
+        out[i] = SequenceMatcher(None, a.iat[i], b.iat[i], autojunk=False).ratio()
+    return pd.Series(out)
 
 
 def _word_diffs(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -53,14 +57,17 @@ def _udf(f, kind: str):
     return F.pandas_udf(f, kind)
 
 
-def similarity(left: Column, right: Column) -> Column:
-    """2 M / T over the key forms; 1 for two empty ones, 0 for one. The rows with a native answer reach the UDF as nulls."""
-    a, b = key_form(left), key_form(right)
+def key_similarity(a: Column, b: Column) -> Column:
+    """2 M / T over key forms; 1 for two empty ones, 0 for one. The rows with a native answer reach the UDF as nulls."""
     easy = (a == b) | (a == "") | (b == "")
     ratio = _udf(_ratio, "double")(F.when(~easy, a), F.when(~easy, b))
     return F.when(a == b, 1.0).when((a == "") | (b == ""), 0.0).otherwise(ratio)
 
 
+def similarity(left: Column, right: Column) -> Column:
+    return key_similarity(key_form(left), key_form(right))
+
+
 def word_diffs(left: Column, right: Column) -> Column:
     return _udf(_word_diffs, f"array<{WORD_DIFF}>")(tokens(left), tokens(right))
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagsmith.deploy import ship
-from tagsmith.functions.align import line_opcodes, similarity, word_diffs
-from tagsmith.functions.text import lines, numeric_difference, strip, tokens, tolerant_equal
+from tagsmith.functions.align import key_similarity, line_opcodes, word_diffs
+from tagsmith.functions.text import key_form, lines, numbers, strip, tokens, tolerant_equal
 
 #: The ratio from which unequal texts match, the field threshold, weights and the pass mark.
 TEXT_MATCH, FIELD_MATCH, PASS_MARK = 0.98, 0.88, 0.90
@@ -29,15 +29,16 @@ def compare_fields(pairs: DataFrame, key: str = "pair_id") -> DataFrame:
     a, s = strip(F.coalesce("approval", F.lit(""))), strip(F.coalesce("sample", F.lit("")))
     rows = pairs.withColumns({"approval": a, "sample": s})
     both = (F.col("approval") != "") & (F.col("sample") != "")
-    # the pair reaches the alignment only where both sides have text
-    ratio = similarity(F.when(both, F.col("approval")), F.when(both, F.col("sample")))
-    rows = rows.withColumns({"__ratio": ratio, "__numeric": numeric_difference(F.col("approval"), F.col("sample")), "__same": tolerant_equal(F.col("approval"), F.col("sample"))})
+    # keys and numbers are columns of their own, so that each is made once; null where a side is empty
+    rows = rows.withColumns({f"__{form}{side[0]}": F.when(both, f(F.col(side))) for form, f in (("k", key_form), ("n", numbers)) for side in ("approval", "sample")})
+    numeric = F.when(F.size("__na") == 0, False).when(F.size("__ns") == 0, True).otherwise(F.col("__na") != F.col("__ns"))
+    rows = rows.withColumns({"__ratio": key_similarity(F.col("__ka"), F.col("__ks")), "__numeric": numeric, "__same": (F.col("__ka") != "") & (F.col("__ka") == F.col("__ks"))})
     match = F.col("__same") | (~F.col("__numeric") & (F.col("__ratio") >= TEXT_MATCH))
     match = match & ~F.col("__numeric") & (F.round(F.col("__ratio") * 100, 2) >= FIELD_MATCH * 100)
     status = F.when(~both & (F.col("approval") == "") & (F.col("sample") == ""), "NOT_CHECKED").when(F.col("sample") == "", "MISSING").when(F.col("approval") == "", "EXTRA").when(match, "MATCH").otherwise("MISMATCH")
     rows = rows.withColumn("status", status)
     score = F.when(F.col("status") == "NOT_CHECKED", None).when(both, F.round(F.col("__ratio") * 100, 2)).otherwise(0.0)
-    return rows.withColumn("score", score).drop("__ratio", "__numeric", "__same")
+    return rows.withColumn("score", score).drop("__ka", "__ks", "__na", "__ns", "__ratio", "__numeric", "__same")
 
 
 def join_fields(approval: DataFrame, sample: DataFrame, key: str = "pair_id") -> DataFrame:

@@ -1,42 +1,96 @@
-"""Field extraction from label text: alias starts, line parsing as gaps and islands, two fallback searches."""
+"""Field extraction from label text: alias starts, line parsing as gaps and islands, two fallback searches.
+
+All of it works on one table of lines that is shuffled once, by the label; what follows groups by the label and more.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagsmith.deploy import ship
 from tagsmith.functions.aliases import FIELDS, alternation, labels_of, own_aliases, owners
 from tagsmith.functions.text import LINE_END, SPACE, clean_value, is_noise, line_form
 
-_END = rf"(?=[{SPACE}]|[:=|;\-]|$)"
-#: Java's (?iu): case folding beyond ASCII, as the reference semantics ask.
-_START = rf"(?iu)^({alternation(owners())}){_END}"
+_BREAK = rf"[{SPACE}]|[:=|;\-]"
+_END = rf"(?={_BREAK}|$)"
+#: Java's (?iu): case folding beyond ASCII, as the reference semantics ask. No word boundary: see line_starts.
+_START = rf"(?iu)^({alternation(owners())})"
+
+_ALIAS = "struct<f:int,n:int>"
+_HITS = f"struct<own:array<{_ALIAS}>,inner:array<{_ALIAS}>,loose:array<int>>"
+
+
+def _hits() -> dict[str, tuple]:
+    """For the longest label that begins a line: fields that have it, labels inside it that a break follows, fields with any label inside it.
+
+    Every other label that begins the line begins this label, so one search of a line finds all of them.
+    """
+    named = {f: labels_of(f) for f in FIELDS}
+    known = {f: set(own_aliases(f)) for f in FIELDS}
+    out = {}
+    for label in owners():
+        inside = [(i, len(a)) for i, f in enumerate(FIELDS) for a in named[f] if label.startswith(a)]
+        own = [(i, n) for i, n in inside if n == len(label)]
+        inner = sorted(((i, n) for i, n in inside if n < len(label) and re.match(_BREAK, label[n])), key=lambda p: (-p[1], p[0]))
+        loose = sorted({i for i, f in enumerate(FIELDS) for a in known[f] if label.startswith(a)})
+        out[label] = (own, inner, loose)
+    return out
+
+
+def _literal() -> Column:
+    pair = lambda p: F.struct(F.lit(p[0]).alias("f"), F.lit(p[1]).alias("n"))
+    row = lambda own, inner, loose: F.struct(F.array(*map(pair, own)).alias("own"), F.array(*map(pair, inner)).alias("inner"), F.array(*map(F.lit, loose)).alias("loose")).cast(_HITS)
+    return F.create_map(*[x for label, hit in _hits().items() for x in (F.lit(label), row(*hit))])
+
+
+def explode_lines(labels: DataFrame, key: str | tuple = "label_id", text: str = "text", outer: bool = False) -> DataFrame:
+    """key, line_no, line: the non-blank normalised lines; outer keeps labels without any, with nulls."""
+    keys = (key,) if isinstance(key, str) else key
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), line_form), lambda x: x != "")
+    return labels.select(*keys, (F.posexplode_outer if outer else F.posexplode)(parts).alias("line_no", "line"))
+
+
+def line_starts(rows: DataFrame) -> DataFrame:
+    """Adds near: array of (f, n, rest), the fields whose label begins the line before a break, longest label first, with the
+    label's length and what follows it; and loose: the fields with an alias that begins the line, a break or not.
+    """
+    found = F.upper(F.regexp_extract("line", _START, 1))
+    rows = rows.withColumn("__found", found).withColumn("__hit", F.when(F.col("__found") != "", _literal()[F.col("__found")]))
+    ends = F.substring(F.col("line"), F.length("__found") + 1, F.lit(1)).rlike(rf"^(?:{_BREAK}|$)")
+    near = F.when(ends, F.concat("__hit.own", "__hit.inner")).otherwise(F.col("__hit.inner"))
+    rest = lambda n: clean_value(F.ltrim(F.substring(F.col("line"), n + 1, F.length("line"))))
+    near = F.transform(near, lambda e: F.struct(e["f"].alias("f"), e["n"].alias("n"), rest(e["n"]).alias("rest")))
+    return rows.withColumns({"near": near, "loose": F.col("__hit.loose")}).drop("__found", "__hit")
 
 
 def match_start(line: Column) -> Column:
     """struct(field, remainder) of a normalised line that starts with a label, else null; the longest label wins."""
-    found = F.upper(F.regexp_extract(line, _START, 1))
+    found = F.upper(F.regexp_extract(line, _START + _END, 1))
     table = F.create_map(*[F.lit(x) for kv in owners().items() for x in kv])
     rest = F.substring(line, F.length(found) + 1, F.length(line))
     return F.when(found != "", F.struct(table[found].alias("field"), clean_value(F.ltrim(rest)).alias("remainder")))
 
 
-def explode_lines(labels: DataFrame, key: str = "label_id", text: str = "text") -> DataFrame:
-    """key, line_no, line: the non-blank normalised lines."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), LINE_END), line_form), lambda x: x != "")
-    return labels.select(key, F.posexplode(parts).alias("line_no", "line"))
+def _islands(rows: DataFrame, keys: tuple, *more: Column) -> DataFrame:
+    """keys, island, f, value of the line parser: a label opens a field (island 0: lines before any), other lines but noise go on it."""
+    first = F.get("near", F.lit(0))
+    order = Window.partitionBy(*keys).orderBy("line_no")
+    rows = rows.withColumn("__first", first).withColumn("island", F.sum(F.col("__first").isNotNull().cast("int")).over(order))
+    part = F.when(F.col("__first").isNotNull(), F.nullif(F.col("__first.rest"), F.lit(""))).when(~is_noise(F.col("line")), F.col("line"))
+    rows = rows.withColumn("__part", part)
+    parts = F.array_sort(F.collect_list(F.when(F.col("__part").isNotNull(), F.struct("line_no", F.col("__part").alias("v")))))
+    out = rows.groupBy(*keys, "island").agg(F.max("__first.f").alias("f"), parts.alias("parts"), *more)
+    return out.withColumn("value", F.when(F.col("f").isNotNull(), clean_value(F.array_join(F.transform("parts", lambda p: p["v"]), " ")))).drop("parts")
 
 
 def parse_lines(labels: DataFrame, key: str = "label_id", text: str = "text") -> DataFrame:
     """key, field, value by the line parser: a label opens a field, other lines but noise go on it; the last non-empty one stays."""
-    rows = explode_lines(labels, key, text).withColumn("m", match_start(F.col("line")))
-    order = Window.partitionBy(key).orderBy("line_no")
-    rows = rows.withColumn("island", F.sum(F.col("m").isNotNull().cast("int")).over(order)).where("island > 0")
-    part = F.when(F.col("m").isNotNull(), F.nullif(F.col("m.remainder"), F.lit(""))).when(~is_noise(F.col("line")), F.col("line"))
-    islands = rows.groupBy(key, "island").agg(F.max("m.field").alias("field"), F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("line_no", part.alias("v"))))).alias("parts"))
-    islands = islands.withColumn("value", clean_value(F.array_join(F.transform("parts", lambda p: p["v"]), " "))).where("value <> ''")
-    return islands.groupBy(key, "field").agg(F.max_by("value", "island").alias("value"))
+    rows = line_starts(explode_lines(labels, key, text).repartition(key))
+    islands = _islands(rows, (key,)).where("value <> ''")
+    names = F.array(*map(F.lit, FIELDS))
+    return islands.groupBy(key, "f").agg(F.max_by("value", "island").alias("value")).select(key, F.get(names, F.col("f")).alias("field"), "value")
 
 
 def strip_own_label(field: str, value: Column) -> Column:
@@ -45,35 +99,49 @@ def strip_own_label(field: str, value: Column) -> Column:
     return clean_value(F.regexp_replace(clean_value(value), rf"(?iu)^(?:(?:{own}){_END}[ \t:=;|\-]*)+", ""))
 
 
-def search_line(field: str, lines: Column) -> Column:
-    """The first non-empty remainder of a line that starts with one of the field's aliases, lines first, longest alias first."""
-    aliases = own_aliases(field)
-    one = lambda line: F.coalesce(*[F.nullif(clean_value(F.ltrim(F.regexp_extract(line, rf"(?ius)^{alternation([a])}{_END}(.*)$", 1))), F.lit("")) for a in aliases])
-    return F.get(F.filter(F.transform(F.filter(lines, lambda x: x.rlike(rf"(?iu)^(?:{alternation(aliases)}){_END}")), one), lambda v: v.isNotNull()), F.lit(0))
-
-
 def search_text(field: str, text: Column) -> Column:
     """The first alias anywhere at a line's start, without a word boundary; white space may cross lines."""
     pattern = rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(field))})[{SPACE}]*[:=|;\-]?[{SPACE}]*([^\n]+?)[{SPACE}]*$"
     return F.nullif(clean_value(F.regexp_extract(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(" ")), pattern, 1)), F.lit(""))
 
 
-def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text", fallback: bool = True) -> DataFrame:
-    """key, field, field_ord, value for all fields of every label; "" where none is found.
+def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: str | None = None) -> DataFrame:
+    """keys, values: array of (field, field_ord, value) for all fields of every label; "" where none is found.
 
-    fallback runs the two searches for fields that the line parser leaves empty (their quirks are kept: no word
-    boundary in the second one). One row per label goes through them, so they add no shuffle of their own.
+    fallback runs the two searches for fields that the line parser leaves empty (their quirks are kept: no word boundary in
+    the second one): the first line with something after an alias, lines first, the longest alias first; then the text as a
+    whole, which is searched only for fields with an alias at the start of a line. by: the one of keys that rows are shuffled by.
     """
-    ship(labels.sparkSession)
-    first = parse_lines(labels, key, text)
-    wide = first.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("found"))
-    rows = labels.select(key, F.col(text).alias("__text")).join(wide, key, "left")
-    rows = rows.withColumn("__lines", F.filter(F.transform(F.split(F.coalesce("__text", F.lit("")), LINE_END), line_form), lambda x: x != ""))
+    rows = explode_lines(labels.withColumn("__text", F.col(text)), (*keys, "__text"), text, outer=True)
+    # the text travels with the first line alone
+    rows = rows.withColumn("__text", F.when(F.coalesce("line_no", F.lit(0)) == 0, F.col("__text"))).repartition(by or keys[0])
+    rows = line_starts(rows)
+    said = F.filter("near", lambda e: e["rest"] != "")
+    seen = F.transform(said, lambda e: F.struct(e["f"].alias("f"), F.col("line_no").alias("line_no"), (-e["n"]).alias("before"), e["rest"].alias("rest")))
+    islands = _islands(rows.withColumn("__seen", seen), keys, F.flatten(F.collect_list("__seen")).alias("seen"), F.flatten(F.collect_list("loose")).alias("loose"), F.max("__text").alias("text"))
+    last = F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct((-F.col("island")).alias("i"), "f", "value"))))
+    wide = islands.groupBy(*keys).agg(last.alias("last"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("loose"))).alias("loose"), F.max("text").alias("text"))
+    of = lambda name, i, what: F.get(F.filter(name, lambda e: e["f"] == i), F.lit(0))[what]
     values = []
     for i, f in enumerate(FIELDS):
-        v = F.nullif(strip_own_label(f, F.col("found")[f]), F.lit(""))
+        v = F.nullif(strip_own_label(f, of("last", i, "value")), F.lit(""))
         if fallback:
-            second = F.coalesce(search_line(f, F.col("__lines")), search_text(f, F.col("__text")))
-            v = F.coalesce(v, F.when((F.size("__lines") > 0) & F.col("__text").rlike(rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(f))})"), strip_own_label(f, second)))
+            second = F.coalesce(of("seen", i, "rest"), search_text(f, F.col("text")))
+            v = F.coalesce(v, F.when(F.array_contains("loose", i), strip_own_label(f, second)))
         values.append(F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), clean_value(F.coalesce(v, F.lit(""))).alias("value")))
-    return rows.select(key, F.inline(F.array(*values)))
+    return wide.select(*keys, F.array(*values).alias("values"))
+
+
+def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text", fallback: bool = True) -> DataFrame:
+    """key, field, field_ord, value for all fields of every label; "" where none is found (see field_values)."""
+    return field_values(labels, (key,), text, fallback).select(key, F.inline("values"))
+
+
+def extract_sides(pairs: DataFrame, key: str = "pair_id", approval: str = "atext", sample: str = "stext", fallback: bool = True) -> DataFrame:
+    """key, field, field_ord, approval, sample: the fields of both labels of each pair, through one extraction and one shuffle."""
+    both = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate((approval, sample))])
+    rows = field_values(pairs.select(key, F.inline(both)), (key, "side"), fallback=fallback, by=key)
+    side = lambda i: F.any_value(F.when(F.col("side") == i, F.col("values")), True)
+    rows = rows.groupBy(key).agg(side(0).alias("a"), side(1).alias("s"))
+    merged = F.zip_with("a", "s", lambda a, s: F.struct(a["field"].alias("field"), a["field_ord"].alias("field_ord"), a["value"].alias("approval"), s["value"].alias("sample")))
+    return rows.select(key, F.inline(merged))
