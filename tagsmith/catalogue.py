@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagsmith import queries_ocr  # noqa: F401  registers its queries
+from tagsmith import queries_lines, queries_ocr  # noqa: F401  register their queries
 from tagsmith.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -132,3 +132,27 @@ OCR_IMAGES_SQL = "SELECT doc_id AS label_id, cast(400 + doc_id % 3 * 100 AS int)
 def ocr_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     load(spark, sf_dir, "documents")
     return spark.sql(OCR_IMAGES_SQL)
+
+
+#: Approval labels of customers; their orders are the samples, none to many. v: 0 none, 1 other code, 2 no origin, 3 one line more, 4 buyer in lower case, 5 two lines changed, 6 lines swapped.
+APPROVALS_SQL = """SELECT c_custkey AS group_id, concat('BUYER: ', c_name, chr(10), 'BUYER CODE: C-', cast(c_custkey AS varchar(20)), chr(10), 'VENDOR: ', c_mktsegment, ' TRADING', chr(10),
+  'SHIPMENT MODE: SEA', chr(10), 'CARE: WASH COLD', chr(10), 'COUNTRY OF ORIGIN: ', n_name) AS text FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+SAMPLES_SQL = """SELECT o_custkey AS group_id, o_orderkey AS sample_no, concat('BUYER: ', CASE WHEN v = 4 THEN lower(c_name) ELSE c_name END, chr(10),
+  CASE WHEN v = 6 THEN concat('VENDOR: ', c_mktsegment, ' TRADING', chr(10)) ELSE '' END,
+  'BUYER CODE: C-', cast(c_custkey + CASE WHEN v = 1 THEN 1 ELSE 0 END AS varchar(20)), chr(10),
+  CASE WHEN v = 6 THEN '' ELSE concat('VENDOR: ', c_mktsegment, CASE WHEN v = 5 THEN ' TRADERS' ELSE ' TRADING' END, chr(10)) END,
+  'SHIPMENT MODE: ', CASE WHEN v = 5 THEN 'AIR' ELSE 'SEA' END, chr(10), CASE WHEN v = 3 THEN concat('CARTON NO: ', cast(o_orderkey AS varchar(20)), chr(10)) ELSE '' END,
+  'CARE: WASH COLD', CASE WHEN v = 2 THEN '' ELSE concat(chr(10), 'COUNTRY OF ORIGIN: ', n_name) END) AS text
+FROM (SELECT *, o_orderkey % 7 AS v FROM orders) o JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+
+
+def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, text: one label a customer."""
+    load(spark, sf_dir, "customer", "nation")
+    return spark.sql(APPROVALS_SQL)
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """group_id, sample_no, text: one label an order."""
+    load(spark, sf_dir, "orders", "customer", "nation")
+    return spark.sql(SAMPLES_SQL)

@@ -105,16 +105,16 @@ def search_text(field: str, text: Column) -> Column:
     return F.nullif(clean_value(F.regexp_extract(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(" ")), pattern, 1)), F.lit(""))
 
 
-def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: str | None = None) -> DataFrame:
-    """keys, values: array of (field, field_ord, value) for all fields of every label; "" where none is found.
+def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: tuple | None = None, with_text: bool = False) -> DataFrame:
+    """keys, values (and the text, if asked for): array of (field, field_ord, value) for all fields of every label; "" where none is found.
 
     fallback runs the two searches for fields that the line parser leaves empty (their quirks are kept: no word boundary in
     the second one): the first line with something after an alias, lines first, the longest alias first; then the text as a
-    whole, which is searched only for fields with an alias at the start of a line. by: the one of keys that rows are shuffled by.
+    whole, which is searched only for fields with an alias at the start of a line. by: those of keys that rows are shuffled by.
     """
     rows = explode_lines(labels.withColumn("__text", F.col(text)), (*keys, "__text"), text, outer=True)
     # the text travels with the first line alone
-    rows = rows.withColumn("__text", F.when(F.coalesce("line_no", F.lit(0)) == 0, F.col("__text"))).repartition(by or keys[0])
+    rows = rows.withColumn("__text", F.when(F.coalesce("line_no", F.lit(0)) == 0, F.col("__text"))).repartition(*(by or keys))
     rows = line_starts(rows)
     said = F.filter("near", lambda e: e["rest"] != "")
     seen = F.transform(said, lambda e: F.struct(e["f"].alias("f"), F.col("line_no").alias("line_no"), (-e["n"]).alias("before"), e["rest"].alias("rest")))
@@ -129,7 +129,7 @@ def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: b
             second = F.coalesce(of("seen", i, "rest"), search_text(f, F.col("text")))
             v = F.coalesce(v, F.when(F.array_contains("loose", i), strip_own_label(f, second)))
         values.append(F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), clean_value(F.coalesce(v, F.lit(""))).alias("value")))
-    return wide.select(*keys, F.array(*values).alias("values"))
+    return wide.select(*keys, *(["text"] if with_text else []), F.array(*values).alias("values"))
 
 
 def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text", fallback: bool = True) -> DataFrame:
@@ -140,7 +140,7 @@ def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text",
 def extract_sides(pairs: DataFrame, key: str = "pair_id", approval: str = "atext", sample: str = "stext", fallback: bool = True) -> DataFrame:
     """key, field, field_ord, approval, sample: the fields of both labels of each pair, through one extraction and one shuffle."""
     both = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate((approval, sample))])
-    rows = field_values(pairs.select(key, F.inline(both)), (key, "side"), fallback=fallback, by=key)
+    rows = field_values(pairs.select(key, F.inline(both)), (key, "side"), fallback=fallback, by=(key,))
     side = lambda i: F.any_value(F.when(F.col("side") == i, F.col("values")), True)
     rows = rows.groupBy(key).agg(side(0).alias("a"), side(1).alias("s"))
     merged = F.zip_with("a", "s", lambda a, s: F.struct(a["field"].alias("field"), a["field_ord"].alias("field_ord"), a["value"].alias("approval"), s["value"].alias("sample")))

@@ -121,7 +121,7 @@ box(id, a, b, alo, ahi, blo, bhi, k) AS (
       LATERAL (SELECT {'i': mm.i, 'j': mm.j, 'k': (-mm.nk)::int} AS m) WHERE mm.nk < 0)),
 ratios AS (SELECT id, 2.0 * sum(k) / (length(any_value(a)) + length(any_value(b))) AS ratio FROM box GROUP BY id)"""
 
-_COMPARED = f"""WITH RECURSIVE {_PAIRS}, {_OWNERS}, {_EACH}, {_side("asd", "atext")}, {_side("ssd", "stext")},
+_FIELD_ROWS = f"""{_OWNERS}, {_EACH}, {_side("asd", "atext")}, {_side("ssd", "stext")},
 joined AS (SELECT a.pair_id, a.field, a.ord, a.value AS approval, s.value AS sample FROM asd a JOIN ssd s USING (pair_id, field)),
 keyed AS MATERIALIZED (SELECT *, {_key("approval")} AS ka, {_key("sample")} AS ks, {_numeric("approval", "sample")} AS num FROM joined),
 p AS (SELECT row_number() OVER () AS id, ka AS a, ks AS b FROM (SELECT DISTINCT ka, ks FROM keyed WHERE approval <> '' AND sample <> '' AND ka <> ks AND ka <> '' AND ks <> '')),
@@ -133,6 +133,7 @@ field_rows AS (SELECT pair_id, field, ord, approval, sample,
     WHEN (ka <> '' AND ka = ks AND NOT num) OR (NOT num AND ratio >= 0.98) THEN 'MATCH' ELSE 'MISMATCH' END AS status,
   CASE WHEN approval = '' AND sample = '' THEN NULL WHEN approval <> '' AND sample <> '' THEN round(ratio * 100, 2) ELSE 0.0 END AS score FROM scored)
 """
+_COMPARED = f"WITH RECURSIVE {_PAIRS}, {_FIELD_ROWS}"
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
