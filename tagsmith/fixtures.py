@@ -36,10 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows over all cores, as label files would be: the joins that make them move few bytes, and Spark would merge their partitions to a few."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair_id, v, atext, stext."""
     load(spark, sf_dir, "lineitem", "orders", "customer", "part", "nation")
-    return spark.sql(LABEL_PAIRS_SQL)
+    return _dealt(spark.sql(LABEL_PAIRS_SQL))
 
 
 #: OCR words of label texts: one row per token with a box on a grid; SQL of both engines.
@@ -149,10 +155,10 @@ FROM (SELECT *, o_orderkey % 7 AS v FROM orders) o JOIN customer ON o_custkey =
 def approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, text: one label a customer."""
     load(spark, sf_dir, "customer", "nation")
-    return spark.sql(APPROVALS_SQL)
+    return _dealt(spark.sql(APPROVALS_SQL))
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, sample_no, text: one label an order."""
     load(spark, sf_dir, "orders", "customer", "nation")
-    return spark.sql(SAMPLES_SQL)
+    return _dealt(spark.sql(SAMPLES_SQL))

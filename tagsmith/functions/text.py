@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Python's white space and line ends, as Java character classes.
-SPACE = r"\t-\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Python's white space and line ends, as Java character classes. Java tests single Latin characters by one look into a table
+#: and all else in turn, so the rest stands behind one test of its range.
+SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
 LINE_END = r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = "[A-Z0-9]+(?:[-./%][A-Z0-9]+)*"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"

@@ -48,10 +48,12 @@ def join_fields(approval: DataFrame, sample: DataFrame, key: str = "pair_id") ->
     return a.join(s, [key, "field"], "full_outer").select(key, "field", F.coalesce("__a", F.col("__s") + 1000).alias("field_ord"), F.coalesce("approval", F.lit("")).alias("approval"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
-def field_result(rows: DataFrame, key: str = "pair_id") -> DataFrame:
-    """key, counts, total, field_score of compared field rows."""
+def field_result(rows: DataFrame, key: str = "pair_id", of: int | None = None) -> DataFrame:
+    """key, counts, total, field_score of compared field rows; of: the number of fields, where rows lack those that are not checked."""
     out = rows.groupBy(key).agg(*counts(F.col("status")))
     total = F.col("matched") + F.col("mismatched") + F.col("missing") + F.col("extra")
+    if of is not None:
+        out = out.withColumn("not_checked", F.lit(of) - total)
     return out.withColumn("total", total).withColumn("field_score", F.when(F.col("total") > 0, F.bround(F.col("matched") / F.col("total"), 4)).otherwise(0.0))
 
 

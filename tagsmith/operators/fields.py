@@ -5,8 +5,6 @@ All of it works on one table of lines that is shuffled once, by the label; what
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +20,12 @@ _ALIAS = "struct<f:int,n:int>"
 _HITS = f"struct<own:array<{_ALIAS}>,inner:array<{_ALIAS}>,loose:array<int>>"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows shuffled by keys into as many partitions as the session asks for: the work behind is heavy for the bytes, so they are not merged by size."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def _hits() -> dict[str, tuple]:
     """For the longest label that begins a line: fields that have it, labels inside it that a break follows, fields with any label inside it.
 
@@ -33,7 +37,7 @@ def _hits() -> dict[str, tuple]:
     for label in owners():
         inside = [(i, len(a)) for i, f in enumerate(FIELDS) for a in named[f] if label.startswith(a)]
         own = [(i, n) for i, n in inside if n == len(label)]
-        inner = sorted(((i, n) for i, n in inside if n < len(label) and re.match(_BREAK, label[n])), key=lambda p: (-p[1], p[0]))
+        inner = sorted(((i, n) for i, n in inside if n < len(label) and label[n] in " :=|;-"), key=lambda p: (-p[1], p[0]))
         loose = sorted({i for i, f in enumerate(FIELDS) for a in known[f] if label.startswith(a)})
         out[label] = (own, inner, loose)
     return out
@@ -87,26 +91,32 @@ def _islands(rows: DataFrame, keys: tuple, *more: Column) -> DataFrame:
 
 def parse_lines(labels: DataFrame, key: str = "label_id", text: str = "text") -> DataFrame:
     """key, field, value by the line parser: a label opens a field, other lines but noise go on it; the last non-empty one stays."""
-    rows = line_starts(explode_lines(labels, key, text).repartition(key))
+    rows = line_starts(spread(explode_lines(labels, key, text), key))
     islands = _islands(rows, (key,)).where("value <> ''")
     names = F.array(*map(F.lit, FIELDS))
     return islands.groupBy(key, "f").agg(F.max_by("value", "island").alias("value")).select(key, F.get(names, F.col("f")).alias("field"), "value")
 
 
-def strip_own_label(field: str, value: Column) -> Column:
-    """Without the field's own labels at the start, however often repeated."""
-    own = alternation(labels_of(field))
-    return clean_value(F.regexp_replace(clean_value(value), rf"(?iu)^(?:(?:{own}){_END}[ \t:=;|\-]*)+", ""))
+def _of_field(form) -> Column:
+    """form(field) of a row's own field number f: a pattern that few rows need, as a value and not as a branch for each field."""
+    return F.get(F.array(*[F.lit(form(f)) for f in FIELDS]), F.col("f"))
+
 
+def strip_own_label(value: Column) -> Column:
+    """A clean value without the labels of its row's field f at the start, however often repeated."""
+    pattern = _of_field(lambda f: rf"(?iu)^(?:(?:{alternation(labels_of(f))}){_END}[ \t:=;|\-]*)+")
+    return F.when(value.rlike(_START + _END), clean_value(F.regexp_replace(value, pattern, ""))).otherwise(value)
 
-def search_text(field: str, text: Column) -> Column:
-    """The first alias anywhere at a line's start, without a word boundary; white space may cross lines."""
-    pattern = rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(field))})[{SPACE}]*[:=|;\-]?[{SPACE}]*([^\n]+?)[{SPACE}]*$"
-    return F.nullif(clean_value(F.regexp_extract(F.replace(F.coalesce(text, F.lit("")), F.lit("\r"), F.lit(" ")), pattern, 1)), F.lit(""))
 
+def search_text(text: Column) -> Column:
+    """The first alias of the row's field f anywhere at a line's start, without a word boundary; white space may cross lines."""
+    pattern = _of_field(lambda f: rf"(?imu)^[{SPACE}]*(?:{alternation(own_aliases(f))})[{SPACE}]*[:=|;\-]?[{SPACE}]*([^\n]+?)[{SPACE}]*$")
+    return F.nullif(clean_value(F.call_function("regexp_extract", F.replace(text, F.lit("\r"), F.lit(" ")), pattern, F.lit(1))), F.lit(""))
 
-def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: tuple | None = None, with_text: bool = False) -> DataFrame:
-    """keys, values (and the text, if asked for): array of (field, field_ord, value) for all fields of every label; "" where none is found.
+
+def found_fields(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: tuple | None = None) -> DataFrame:
+    """keys, f (number of a field), value, text: the fields of each label that may have a value ("" if not); the label's text is
+    with one of its rows, and a label without fields has one row with null f.
 
     fallback runs the two searches for fields that the line parser leaves empty (their quirks are kept: no word boundary in
     the second one): the first line with something after an alias, lines first, the longest alias first; then the text as a
@@ -114,34 +124,55 @@ def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: b
     """
     rows = explode_lines(labels.withColumn("__text", F.col(text)), (*keys, "__text"), text, outer=True)
     # the text travels with the first line alone
-    rows = rows.withColumn("__text", F.when(F.coalesce("line_no", F.lit(0)) == 0, F.col("__text"))).repartition(*(by or keys))
-    rows = line_starts(rows)
+    rows = rows.withColumn("__text", F.when(F.coalesce("line_no", F.lit(0)) == 0, F.col("__text")))
+    rows = line_starts(spread(rows, *(by or keys)))
     said = F.filter("near", lambda e: e["rest"] != "")
     seen = F.transform(said, lambda e: F.struct(e["f"].alias("f"), F.col("line_no").alias("line_no"), (-e["n"]).alias("before"), e["rest"].alias("rest")))
     islands = _islands(rows.withColumn("__seen", seen), keys, F.flatten(F.collect_list("__seen")).alias("seen"), F.flatten(F.collect_list("loose")).alias("loose"), F.max("__text").alias("text"))
     last = F.array_sort(F.collect_list(F.when(F.col("value") != "", F.struct((-F.col("island")).alias("i"), "f", "value"))))
-    wide = islands.groupBy(*keys).agg(last.alias("last"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"), F.array_distinct(F.flatten(F.collect_list("loose"))).alias("loose"), F.max("text").alias("text"))
-    of = lambda name, i, what: F.get(F.filter(name, lambda e: e["f"] == i), F.lit(0))[what]
-    values = []
-    for i, f in enumerate(FIELDS):
-        v = F.nullif(strip_own_label(f, of("last", i, "value")), F.lit(""))
-        if fallback:
-            second = F.coalesce(of("seen", i, "rest"), search_text(f, F.col("text")))
-            v = F.coalesce(v, F.when(F.array_contains("loose", i), strip_own_label(f, second)))
-        values.append(F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord"), clean_value(F.coalesce(v, F.lit(""))).alias("value")))
-    return wide.select(*keys, *(["text"] if with_text else []), F.array(*values).alias("values"))
+    wide = islands.groupBy(*keys).agg(last.alias("last"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"), F.flatten(F.collect_list("loose")).alias("loose"), F.max("text").alias("text"))
+    mine = lambda name, f, what: F.get(F.filter(name, lambda e: e["f"] == f), F.lit(0))[what]
+    numbers = F.transform("last", lambda e: e["f"])
+    if fallback:
+        numbers = F.array_distinct(F.concat(numbers, F.transform("seen", lambda e: e["f"]), "loose"))
+    cells = F.transform(F.array_distinct(numbers), lambda f: F.struct(f.alias("f"), mine("last", f, "value").alias("first"), mine("seen", f, "rest").alias("second")))
+    rows = wide.select(*keys, "text", F.posexplode_outer(cells).alias("at", "c")).select(*keys, "text", "at", "c.*")
+    rows = rows.withColumn("first", F.nullif(strip_own_label(F.col("first")), F.lit("")))
+    value = F.col("first")
+    if fallback:
+        rows = rows.withColumn("second", F.when(value.isNull(), F.coalesce("second", search_text(F.col("text")))))
+        value = F.coalesce(value, strip_own_label(F.col("second")))
+    return rows.select(*keys, "f", F.coalesce(value, F.lit("")).alias("value"), F.when(F.coalesce("at", F.lit(0)) == 0, F.col("text")).alias("text"))
+
+
+def field_values(labels: DataFrame, keys: tuple, text: str = "text", fallback: bool = True, by: tuple | None = None) -> DataFrame:
+    """keys, text, values: array of (field, field_ord, value) for all fields of every label; "" where none is found (see found_fields)."""
+    rows = found_fields(labels, keys, text, fallback, by)
+    found = F.map_from_entries(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", "value"))))
+    wide = rows.groupBy(*keys).agg(F.max("text").alias("text"), found.alias("found"))
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("field_ord")) for i, f in enumerate(FIELDS)])
+    values = F.transform(each, lambda e: F.struct(e["field"].alias("field"), e["field_ord"].alias("field_ord"), F.coalesce(F.col("found")[e["field_ord"]], F.lit("")).alias("value")))
+    return wide.select(*keys, "text", values.alias("values"))
 
 
 def extract_fields(labels: DataFrame, key: str = "label_id", text: str = "text", fallback: bool = True) -> DataFrame:
-    """key, field, field_ord, value for all fields of every label; "" where none is found (see field_values)."""
+    """key, field, field_ord, value for all fields of every label; "" where none is found."""
     return field_values(labels, (key,), text, fallback).select(key, F.inline("values"))
 
 
-def extract_sides(pairs: DataFrame, key: str = "pair_id", approval: str = "atext", sample: str = "stext", fallback: bool = True) -> DataFrame:
-    """key, field, field_ord, approval, sample: the fields of both labels of each pair, through one extraction and one shuffle."""
+def extract_sides(pairs: DataFrame, key: str = "pair_id", approval: str = "atext", sample: str = "stext", fallback: bool = True, every: bool = True) -> DataFrame:
+    """key, field, field_ord, approval, sample: the fields of both labels of each pair, through one extraction and one shuffle.
+
+    every: all fields of every pair; else those alone that one side has.
+    """
     both = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("text")) for i, c in enumerate((approval, sample))])
-    rows = field_values(pairs.select(key, F.inline(both)), (key, "side"), fallback=fallback, by=(key,))
-    side = lambda i: F.any_value(F.when(F.col("side") == i, F.col("values")), True)
-    rows = rows.groupBy(key).agg(side(0).alias("a"), side(1).alias("s"))
-    merged = F.zip_with("a", "s", lambda a, s: F.struct(a["field"].alias("field"), a["field_ord"].alias("field_ord"), a["value"].alias("approval"), s["value"].alias("sample")))
-    return rows.select(key, F.inline(merged))
+    rows = found_fields(pairs.select(key, F.inline(both)), (key, "side"), fallback=fallback, by=(key,))
+    side = lambda i: F.coalesce(F.max(F.when(F.col("side") == i, F.col("value"))), F.lit("")).alias(("approval", "sample")[i])
+    rows = rows.groupBy(key, "f").agg(side(0), side(1))
+    if every:
+        found = F.map_from_entries(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", F.struct("approval", "sample")))))
+        rows = rows.groupBy(key).agg(found.alias("found")).select(key, "found", F.explode(F.sequence(F.lit(0), F.lit(len(FIELDS) - 1))).alias("f"))
+        rows = rows.select(key, "f", *[F.coalesce(F.col("found")[F.col("f")][c], F.lit("")).alias(c) for c in ("approval", "sample")])
+    else:
+        rows = rows.where("approval <> '' or sample <> ''")
+    return rows.select(key, F.get(F.array(*map(F.lit, FIELDS)), F.col("f")).alias("field"), F.col("f").alias("field_ord"), "approval", "sample")

@@ -33,8 +33,7 @@ def meet(samples: DataFrame, approvals: DataFrame, group: str, size: int, spread
 
 def read_fields(labels: DataFrame, keys: tuple, text: str = "text") -> DataFrame:
     """keys, text and values (see fields.field_values), from one extraction however often the result is used."""
-    rows = fields.field_values(labels, keys, text, by=keys, with_text=True)
-    return rows.repartition(*keys)
+    return fields.field_values(labels, keys, text, by=keys).repartition(*keys)
 
 
 def group_pairs(approvals: DataFrame, samples: DataFrame, group: str = "group_id", sample: str = "sample_no", limit: int = BROADCAST_BYTES) -> DataFrame:

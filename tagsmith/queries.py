@@ -260,7 +260,7 @@ def extract_fields(spark, d):
 
 @query(_COMPARED + "SELECT pair_id, field, approval, sample, status, score FROM field_rows WHERE status <> 'NOT_CHECKED'")
 def compare_fields(spark, d):
-    return label_qc.field_rows(X.label_pairs(spark, d)).where("status <> 'NOT_CHECKED'").select("pair_id", "field", "approval", "sample", "status", "score")
+    return label_qc.field_rows(X.label_pairs(spark, d), every=False).select("pair_id", "field", "approval", "sample", "status", "score")
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (status = '{s}') AS {n}" for n, s in compare.STATUSES.items())
@@ -278,7 +278,7 @@ def mismatch_rollup(spark, d):
 
 @query(_COMPARED + "SELECT pair_id, field, status, replace(replace(replace(coalesce(nullif(approval, ''), '-'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS approval, replace(replace(replace(coalesce(nullif(sample, ''), '-'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS sample, CASE status WHEN 'MISMATCH' THEN '#DC3545' WHEN 'MISSING' THEN '#FD7E14' ELSE '#0D6EFD' END AS color FROM field_rows WHERE status IN ('MISMATCH', 'MISSING', 'EXTRA')")
 def report_changes(spark, d):
-    return report.detected_changes(label_qc.field_rows(X.label_pairs(spark, d)))
+    return report.detected_changes(label_qc.field_rows(X.label_pairs(spark, d), every=False))
 
 
 # --- lines (alignment of lists: held against the standard library in tests) ---------------------------------
