@@ -162,3 +162,30 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """group_id, sample_no, text: one label an order."""
     load(spark, sf_dir, "orders", "customer", "nation")
     return _dealt(spark.sql(SAMPLES_SQL))
+
+
+#: Uploaded files of requests (one an order): names with and without allowed endings, empty entries, none or several approvals, sums over the limit.
+UPLOADS_SQL = """SELECT l_orderkey AS request_id, CASE WHEN l_linenumber = 1 THEN 'approval' ELSE 'sample' END AS role,
+  cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS int) AS position,
+  CASE WHEN l_partkey % 41 = 7 THEN '' ELSE concat('label_', cast(l_partkey AS varchar(20)), '.', CASE (l_suppkey + l_partkey) % 23 WHEN 0 THEN 'gif' WHEN 1 THEN 'PNG' WHEN 2 THEN 'pdf' WHEN 3 THEN 'Webp' ELSE 'jpg' END) END AS name,
+  cast(l_quantity * 400000 AS bigint) AS length FROM lineitem"""
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """request_id, role, position, name, length."""
+    load(spark, sf_dir, "lineitem")
+    return spark.sql(UPLOADS_SQL)
+
+
+#: Posted results of orders: whole ones, some with unknown members or without some values; broken, empty and mistyped ones.
+PAYLOADS_SQL = """SELECT payload_id, CASE WHEN payload_id % 19 = 2 THEN NULL WHEN payload_id % 23 = 2 THEN '  ' WHEN payload_id % 29 = 3 THEN '[1, 2]' WHEN payload_id % 11 = 4 THEN substr(body, 1, length(body) - 5) ELSE body END AS body
+FROM (SELECT o_orderkey AS payload_id, concat('{"approval":{"filename":"a', cast(o_custkey AS varchar(20)), '.png","ocr_text":"', o_orderpriority, '"},', CASE WHEN o_orderkey % 5 = 0 THEN '"client":{"v":1},' ELSE '' END, '"samples":[',
+  CASE WHEN o_orderkey % 17 = 8 THEN '' ELSE concat('{"filename":"s', cast(o_orderkey AS varchar(20)), '.png","score":', CASE WHEN o_orderkey % 13 = 6 THEN '"high"' ELSE concat(cast(o_orderkey % 100 AS varchar(20)), '.5') END,
+    ',"status":"', CASE WHEN o_orderkey % 2 = 0 THEN 'PASS' ELSE 'FAIL' END, '"', CASE WHEN o_orderkey % 7 = 1 THEN '' ELSE ',"matched":3,"mismatched":1,"missing":0,"extra":2' END,
+    ',"fields":[{"field":"SIZE","approval":"4","sample":"', cast(o_orderkey % 9 AS varchar(20)), '","status":"MATCH","score":100.0},{"field":"QTY","approval":"","sample":"1","status":"EXTRA","score":0.0}]},{"filename":"t.png","status":"PASS","fields":[]}') END, ']}') AS body FROM orders)"""
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """payload_id, body."""
+    load(spark, sf_dir, "orders")
+    return spark.sql(PAYLOADS_SQL)
