@@ -50,7 +50,11 @@ def join_fields(approval: DataFrame, sample: DataFrame, key: str = "pair_id") ->
 
 def field_result(rows: DataFrame, key: str = "pair_id", of: int | None = None) -> DataFrame:
     """key, counts, total, field_score of compared field rows; of: the number of fields, where rows lack those that are not checked."""
-    out = rows.groupBy(key).agg(*counts(F.col("status")))
+    return scored_fields(rows.groupBy(key).agg(*counts(F.col("status"))), of)
+
+
+def scored_fields(out: DataFrame, of: int | None = None) -> DataFrame:
+    """Counts by status with total and field_score."""
     total = F.col("matched") + F.col("mismatched") + F.col("missing") + F.col("extra")
     if of is not None:
         out = out.withColumn("not_checked", F.lit(of) - total)
@@ -95,7 +99,11 @@ def line_mismatches(line_rows: DataFrame, key: str = "pair_id") -> DataFrame:
 
 def line_result(line_rows: DataFrame, key: str = "pair_id") -> DataFrame:
     """key, matched, mismatched, missing, extra, total, score."""
-    out = line_rows.groupBy(key).agg(*counts(F.col("status"))[:4])
+    return scored_lines(line_rows.groupBy(key).agg(*counts(F.col("status"))[:4]))
+
+
+def scored_lines(out: DataFrame) -> DataFrame:
+    """Counts by status with total and score."""
     total = F.col("matched") + F.col("mismatched") + F.col("missing") + F.col("extra")
     return out.withColumn("total", total).withColumn("score", F.bround(F.col("matched") / F.col("total"), 4))
 

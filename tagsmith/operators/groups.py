@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagsmith.functions.aliases import FIELDS
 from tagsmith.operators import compare, fields
+from tagsmith.sources.shared import kept
 
 #: Approvals whose texts together are at most this long are broadcast; others are shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -32,20 +34,20 @@ def meet(samples: DataFrame, approvals: DataFrame, group: str, size: int, spread
 
 
 def read_fields(labels: DataFrame, keys: tuple, text: str = "text") -> DataFrame:
-    """keys, text and values (see fields.field_values), from one extraction however often the result is used."""
-    return fields.field_values(labels, keys, text, by=keys).repartition(*keys)
+    """keys, text and values (see fields.field_values): each label is read once, however often the result is used."""
+    return kept(fields.field_values(labels, keys, text, by=keys), "label-fields")
 
 
 def group_pairs(approvals: DataFrame, samples: DataFrame, group: str = "group_id", sample: str = "sample_no", limit: int = BROADCAST_BYTES) -> DataFrame:
     """pair_id (struct of group and sample), atext, stext, avalues, svalues of every sample whose group has an approval.
 
-    approvals: group, text, one row a group; samples: group, sample, text. A sample without an approval is left out.
+    approvals: group, text, values from read_fields, one row a group; samples: group, sample, text. A sample without an approval is left out.
     """
-    size = approvals.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    a = read_fields(approvals, (group,)).withColumnsRenamed({"text": "atext", "values": "avalues"})
-    s = read_fields(samples, (group, sample)).withColumnsRenamed({"text": "stext", "values": "svalues"})
+    size = approvals.agg(F.sum(F.octet_length("text") * 2 + 1024)).first()[0] or 0
+    a = approvals.withColumnsRenamed({"text": "atext", "values": "avalues"})
+    s = fields.field_values(samples, (group, sample), by=(group, sample)).withColumnsRenamed({"text": "stext", "values": "svalues"})
     rows = meet(s, a, group, size, sample, limit)
-    return rows.select(F.struct(group, sample).alias("pair_id"), "atext", "stext", "avalues", "svalues")
+    return kept(rows.select(F.struct(group, sample).alias("pair_id"), "atext", "stext", "avalues", "svalues"), "label-pairs")
 
 
 def compared_fields(pairs: DataFrame) -> DataFrame:
@@ -54,27 +56,33 @@ def compared_fields(pairs: DataFrame) -> DataFrame:
     return compare.compare_fields(pairs.select("pair_id", F.inline(merged)))
 
 
-def _nested(rows: DataFrame, name: str, *cols: str) -> DataFrame:
-    """pair_id, name: a pair's rows as an array in the order of cols."""
-    return rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+def _listed(*cols: str) -> Column:
+    """A pair's rows as an array in the order of cols."""
+    return F.array_sort(F.collect_list(F.struct(*cols)))
 
 
 def sample_results(pairs: DataFrame, logo: DataFrame | None = None, barcode: DataFrame | None = None) -> DataFrame:
     """One row a sample: verdict, score, counts, and its field rows, line rows and token differences as arrays.
 
-    logo and barcode have pair_id and status. What pairs comes from is computed once; all results lie together by pair.
+    logo and barcode have pair_id and status. Lines are aligned once; all results come together by pair.
     """
-    pairs = pairs.repartition("pair_id")
-    by_field, by_line = compared_fields(pairs), compare.compare_lines(pairs)
-    summary = compare.summarise(pairs, compare.field_result(by_field), compare.line_result(by_line), logo, barcode)
-    diffs = compare.visual_diffs(by_line).withColumn("at", F.coalesce("approval_line", "sample_line"))
-    out = summary.join(_nested(by_field.where("status <> 'NOT_CHECKED'"), "fields", "field_ord", "field", "approval", "sample", "status", "score"), "pair_id", "left")
-    out = out.join(_nested(by_line, "lines", "line", "approval_line", "sample_line", "approval", "sample", "status"), "pair_id", "left")
-    return out.join(_nested(diffs, "differences", "at", "approval_line", "sample_line", "type", "approval_text", "sample_text"), "pair_id", "left")
+    by_field = compare_nested(compared_fields(pairs).where("status <> 'NOT_CHECKED'"), "fields", "field_ord", "field", "approval", "sample", "status", "score")
+    lines = kept(compare.compare_lines(pairs), "label-lines")
+    by_line = compare_nested(lines, "lines", "line", "approval_line", "sample_line", "approval", "sample", "status")
+    diffs = compare.visual_diffs(lines).withColumn("at", F.coalesce("approval_line", "sample_line"))
+    diffs = diffs.groupBy("pair_id").agg(_listed("at", "approval_line", "sample_line", "type", "approval_text", "sample_text").alias("differences"))
+    summary = compare.summarise(pairs, compare.scored_fields(by_field, len(FIELDS)), compare.scored_lines(by_line), logo, barcode)
+    out = summary.join(by_field.select("pair_id", "fields"), "pair_id", "left").join(by_line.select("pair_id", "lines"), "pair_id", "left")
+    return out.join(diffs, "pair_id", "left")
+
+
+def compare_nested(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+    """pair_id, the counts by status, and the rows themselves as the array name."""
+    return rows.groupBy("pair_id").agg(*compare.counts(F.col("status")), _listed(*cols).alias(name))
 
 
 def result_records(approvals: DataFrame, results: DataFrame, group: str = "group_id", sample: str = "sample_no", size: int = RECORD_SAMPLES) -> DataFrame:
-    """group, page, text, values of every approval with samples: the results of samples page * size on, in order, as an array.
+    """group, text, values of every approval (from read_fields) with page and samples: the results of samples page * size on, in order, as an array.
 
     A group of up to size samples (numbers from 0) is one record; a larger one has a record for each size of them. A group without
     samples has one record with none.

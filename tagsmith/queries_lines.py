@@ -97,8 +97,8 @@ recs AS (SELECT group_id, s.pair_id // 100 AS page, count(*) AS n, count(*) FILT
   FROM pair_summary s JOIN pairs USING (pair_id) LEFT JOIN nf USING (pair_id) LEFT JOIN nl USING (pair_id) LEFT JOIN nd USING (pair_id) GROUP BY ALL)
 SELECT group_id, coalesce(page, 0) AS page, text AS approval_text, coalesce(n, 0) AS samples_count, coalesce(passed, 0) AS passed, coalesce(samples, '') AS samples FROM appr LEFT JOIN recs USING (group_id)""")
 def approval_results(spark, d):
-    pairs = groups.group_pairs(X.approvals(spark, d), X.samples(spark, d))
-    records = groups.result_records(X.approvals(spark, d), groups.sample_results(pairs))
+    approvals = groups.read_fields(X.approvals(spark, d), ("group_id",))
+    records = groups.result_records(approvals, groups.sample_results(groups.group_pairs(approvals, X.samples(spark, d))))
     number = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     field = lambda r: F.concat(r["field"], F.lit("="), r["status"], F.coalesce(F.concat(F.lit("@"), F.round(r["score"]).cast("int").cast("string")), F.lit("")))
     change = lambda r: F.concat(r["type"], F.lit(":"), r["approval_text"], F.lit(">"), r["sample_text"])
