@@ -8,17 +8,24 @@ from tagsmith.queries import _squeeze, query
 
 SETTINGS = plan.OcrSettings(psm=11, second=True)
 
+
+def _even1(x: str) -> str:
+    """One decimal place, ties to even, of the number as it is written in decimals; both halves of it are exact."""
+    v = f"CAST(CAST({x} AS varchar) AS decimal(30, 18))"
+    return f"CAST(CASE WHEN {v} * 10 - floor({v} * 10) = 0.5 THEN 2 * round({v} * 5) / 10 ELSE round({v}, 1) END AS double)"
+
+
 _PLAN = f"""tok AS ({X.OCR_TOKENS_DUCK}), calls AS ({X.OCR_CALLS_DUCK}), images AS ({X.OCR_IMAGES_SQL}),
 clean AS (SELECT * REPLACE ({_squeeze('text')} AS text, round(greatest(coalesce(try_cast(confidence AS double) * CASE WHEN engine = 'easyocr' THEN 100 ELSE 1 END, 0.0), 0.0), 2) AS confidence,
     CAST(x AS int) AS x, CAST(y AS int) AS y, CAST(w AS int) AS w, CAST(h AS int) AS h) FROM tok),
 used AS MATERIALIZED (SELECT * FROM clean WHERE text <> '' AND (engine = 'tesseract' OR confidence >= 25)),
 scored AS (SELECT label_id, engine, variant_ord, psm_ord, conf, conf + least(letters / 20.0, 10.0) + least(n / 10.0, 5.0) AS score FROM (
     SELECT label_id, engine, variant_ord, psm_ord, count(*) AS n, sum(length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g'))) AS letters,
-      coalesce(round(CASE WHEN engine = 'easyocr' THEN avg(confidence) ELSE avg(confidence) FILTER (confidence > 0) END, 2), 0.0) AS conf FROM used GROUP BY label_id, engine, variant_ord, psm_ord)
+      coalesce(CAST(round(CAST(CASE WHEN engine = 'easyocr' THEN avg(confidence) ELSE avg(confidence) FILTER (confidence > 0) END AS decimal(20, 10)), 2) AS double), 0.0) AS conf FROM used GROUP BY label_id, engine, variant_ord, psm_ord)
   JOIN calls USING (label_id, engine, variant_ord, psm_ord) WHERE available),
 won AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY label_id, engine ORDER BY score DESC, variant_ord, psm_ord) = 1),
 chosen AS MATERIALIZED (SELECT i.*, CASE WHEN t.label_id IS NOT NULL THEN 'tesseract' ELSE 'easyocr' END AS engine, coalesce(t.variant_ord, e.variant_ord) AS variant_ord, coalesce(t.psm_ord, e.psm_ord) AS psm_ord,
-    round_even(CASE WHEN t.conf > 0 AND e.conf > 0 THEN (t.conf + e.conf) / 2 WHEN t.conf > 0 THEN t.conf WHEN e.conf > 0 THEN e.conf ELSE 0.0 END, 1) AS confidence
+    {_even1("""CASE WHEN t.conf > 0 AND e.conf > 0 THEN (t.conf + e.conf) / 2 WHEN t.conf > 0 THEN t.conf WHEN e.conf > 0 THEN e.conf ELSE 0.0 END""")} AS confidence
   FROM images i LEFT JOIN (SELECT * FROM won WHERE engine = 'tesseract') t USING (label_id) LEFT JOIN (SELECT * FROM won WHERE engine = 'easyocr') e USING (label_id)),
 mapped AS (SELECT label_id, engine, seq, text, u.confidence, y AS raw_y, block_num, par_num, line_num, image_w, image_h,
     greatest(0, least(CAST(round_even(x * (image_w / ocr_w), 0) AS int), image_w - 1)) AS ox, greatest(0, least(CAST(round_even(y * (image_h / ocr_h), 0) AS int), image_h - 1)) AS oy,
