@@ -310,10 +310,12 @@ def highlight_boxes(spark, d):
     diffs = compare.visual_diffs(compare.compare_lines(pairs))
     order = Window.partitionBy("pair_id").orderBy(F.coalesce("approval_line", "sample_line"), "type", "approval_text", "sample_text")
     diffs = diffs.withColumn("diff_no", F.row_number().over(order) - 1)
-    lines = pairs.select("pair_id", F.posexplode(T.lines(F.col("atext"))).alias("line_index", "line"))
-    words = lines.select("pair_id", "line_index", F.posexplode(F.split("line", " ")).alias("word_index", "text"))
-    words = words.withColumns({"seq": F.expr("line_index * 1000 + word_index"), "x": F.expr("word_index * 60"), "y": F.expr("line_index * 40"), "w": F.expr("10 * length(text)"), "h": F.lit(20)})
-    return highlight.boxes(diffs, words, "approval", F.lit(800), F.lit(1200))
+    sides = []
+    for text in ("atext", "stext"):
+        lines = pairs.select("pair_id", F.posexplode(T.lines(F.col(text))).alias("line_index", "line"))
+        words = lines.select("pair_id", "line_index", F.posexplode(F.split("line", " ")).alias("word_index", "text"))
+        sides.append(words.withColumns({"seq": F.expr("line_index * 1000 + word_index"), "x": F.expr("word_index * 60"), "y": F.expr("line_index * 40"), "w": F.expr("10 * length(text)"), "h": F.lit(20)}))
+    return highlight.both_sides(diffs, *sides, F.lit(800), F.lit(1200))
 
 
 @query()

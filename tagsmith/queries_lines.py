@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagsmith import fixtures as X
 from tagsmith.functions import text as T
 from tagsmith.operators import groups
-from tagsmith.queries import _BARS, _COUNTS, _FIELD_ROWS, _PAIRS, ORACLE_SQL, QUERIES, _key, _lines, _norm, query
+from tagsmith.queries import _BARS, _COUNTS, _FIELD_ROWS, _PAIRS, ORACLE_SQL, QUERIES, _key, _lines, _norm, _squeeze, _upper, query
 
 
 def _blocks(name: str) -> str:
@@ -63,6 +63,31 @@ weighed AS (SELECT *, CASE WHEN total > 0 OR barcode_status IN ('PASS', 'FAIL')
 pair_summary AS (SELECT * EXCLUDE (f), round_even(f, 4) AS score_fraction, round_even(f * 100, 1) AS score, CASE WHEN mismatched + missing + extra + line_mismatched + line_missing + line_extra > 0 OR coalesce(barcode_status = 'FAIL', false) OR f < 0.9 THEN 'FAIL' ELSE 'PASS' END AS status FROM weighed)"""
 
 
+def _hkey(x: str) -> str:
+    return f"regexp_replace({_squeeze('translate(' + _upper(x) + ', ' + chr(39) + '—–−_|' + chr(39) + ', ' + chr(39) + '----I' + chr(39) + ')')}, '[^A-Z0-9]', '', 'g')"
+
+
+def _words_of(side: str, col: str) -> str:
+    return f"SELECT pair_id, '{side}' AS side, CAST(line AS int) AS line, CAST(wi AS int) AS wi, word, {_hkey('word')} AS wk FROM (SELECT pair_id, line, unnest(ws) AS word, unnest(range(len(ws))) AS wi FROM (SELECT pair_id, line, string_split(l, ' ') AS ws FROM (SELECT pair_id, unnest({col}) AS l, unnest(range(len({col}))) AS line FROM sides)))"
+
+
+def _targets_of(side: str) -> str:
+    return f"SELECT pair_id, '{side}' AS side, diff_no, type, {side}_line AS line, target, {_hkey('target')} AS tk, tn FROM (SELECT *, unnest(string_split({side}_text, ' ')) AS target, unnest(range(len(string_split({side}_text, ' ')))) AS tn FROM numbered)"
+
+
+#: Targets of a difference choose among their line's words one after the other.
+_BOXES = f"""
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY coalesce(approval_line, sample_line), type, approval_text, sample_text) - 1 AS diff_no FROM visual),
+hw AS ({_words_of('approval', 'a')} UNION ALL {_words_of('sample', 'b')}), hl AS MATERIALIZED (SELECT pair_id, side, line, list({{'wi': wi, 'word': word, 'wk': wk}} ORDER BY wi) AS ws FROM hw WHERE wk <> '' GROUP BY ALL),
+ht AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair_id, side, diff_no ORDER BY tn) AS n FROM ({_targets_of('approval')} UNION ALL {_targets_of('sample')}) WHERE tk <> ''),
+pick(pair_id, side, diff_no, n, taken, best) AS (SELECT DISTINCT pair_id, side, diff_no, 0::bigint, []::bigint[], NULL::bigint FROM ht
+  UNION ALL SELECT pair_id, side, diff_no, n, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.i) END, b.i FROM (
+    SELECT p.pair_id, p.side, p.diff_no, t.n, p.taken, list_sort(list_filter(list_transform(range(1, len(ws) + 1), lambda i: {{'fit': CASE WHEN ws[i].wk = t.tk THEN -2 WHEN length(t.tk) >= 3 AND (contains(ws[i].wk, t.tk) OR contains(t.tk, ws[i].wk)) THEN -1 ELSE 0 END, 'i': i}}), lambda s: s.fit < 0 AND NOT list_contains(p.taken, s.i)))[1] AS b
+    FROM pick p JOIN ht t ON t.pair_id = p.pair_id AND t.side = p.side AND t.diff_no = p.diff_no AND t.n = p.n + 1 JOIN hl ON hl.pair_id = t.pair_id AND hl.side = t.side AND hl.line = t.line)),
+drawn AS (SELECT side, pair_id, diff_no, target, type, line, ws[best].wi AS wi, ws[best].word AS word FROM pick JOIN ht USING (pair_id, side, diff_no, n) JOIN hl USING (pair_id, side, line) WHERE best IS NOT NULL),
+hb AS (SELECT *, greatest(0, least(wi * 60 - 3, 799)) AS x1, greatest(0, least(line * 40 - 3, 1199)) AS y1, greatest(0, least(wi * 60 + 10 * length(word) + 3, 799)) AS x2, greatest(0, least(line * 40 + 23, 1199)) AS y2 FROM drawn)"""
+
+
 _LINES = f"WITH RECURSIVE {_PAIRS}, {_line_rows()}"
 _VERDICT = f"WITH RECURSIVE {_PAIRS}, {_FIELD_ROWS}, {_line_rows()}, {_RESULTS}"
 _BARCODES = f"""{_BARS},
@@ -76,6 +101,8 @@ ORACLE_SQL |= {
     "line_counts": f"{_LINES} SELECT *, round_even(matched / total, 4) AS score FROM (SELECT pair_id, {_LINE_COUNTS}, count(*) AS total FROM line_rows GROUP BY pair_id)",
     "line_mismatches": f"{_LINES} SELECT pair_id, concat('LINE ', CAST(line AS varchar)) AS field, approval, sample, status, CAST(NULL AS double) AS score FROM line_rows WHERE status <> 'MATCH'",
     "line_diffs": f"{_LINES}, {_DIFFS} SELECT * FROM visual",
+    "highlight_boxes": f"""{_LINES}, {_DIFFS}, {_BOXES} SELECT side, pair_id, CAST(diff_no AS int) AS diff_no, target, CASE WHEN side = 'approval' AND type = 'delete' THEN 'ORANGE' WHEN side = 'sample' AND type = 'insert' THEN 'BLUE' ELSE 'RED' END AS color,
+  CASE WHEN side = 'approval' AND type = 'delete' THEN 'MISSING' WHEN side = 'sample' AND type = 'insert' THEN 'EXTRA' ELSE 'CHANGE' END AS label, x1, y1, x2, y2 FROM hb WHERE x2 > x1 AND y2 > y1""",
     "report_summary": f"{_VERDICT}, {_summary(None)} SELECT pair_id, score AS score_percent, status AS result, matched, mismatched, missing, extra, not_checked, {_COLOR} FROM pair_summary",
     "overall_status": f"{_VERDICT}, {_BARCODES}, {_summary('bar')} SELECT * FROM pair_summary",
     "report_verification": f"{_VERDICT}, {_BARCODES}, {_summary('bar')} SELECT pair_id, unnest(['Logo', 'Barcode']) AS \"check\", unnest([coalesce(logo_status, 'NOT_CHECKED'), coalesce(barcode_status, 'NOT_CHECKED')]) AS result FROM pair_summary",

@@ -254,6 +254,19 @@ def test_boxes_of_differences(spark):
     assert got == {(0, "RED", "CHANGE", 57, 7, 73, 33), (1, "ORANGE", "MISSING", 57, 7, 73, 33), (2, "ORANGE", "MISSING", 57, 47, 93, 59)}
 
 
+def test_boxes_of_both_sides_and_of_fields(spark):
+    cols = "pair_id long, line_index int, word_index int, seq int, text string, x int, y int, w int, h int"
+    a = spark.createDataFrame([(1, 0, 0, 0, "RED", 0, 0, 30, 20), (1, 0, 1, 1, "CAP", 60, 0, 30, 20)], cols)
+    s = spark.createDataFrame([(1, 0, 0, 0, "BLUE", 0, 0, 40, 20), (1, 0, 1, 1, "CAP", 60, 0, 30, 20), (1, 1, 0, 2, "NEW", 0, 40, 30, 20)], cols)
+    diffs = spark.createDataFrame([(1, 0, "replace", "RED", "BLUE", 0, 0), (1, 1, "insert", "", "NEW", None, 1)], "pair_id long, diff_no int, type string, approval_text string, sample_text string, approval_line int, sample_line int")
+    got = {(r["side"], r["diff_no"], r["target"], r["color"], r["label"]) for r in highlight.both_sides(diffs, a, s, F.lit(100), F.lit(80)).collect()}
+    assert got == {("approval", 0, "RED", "RED", "CHANGE"), ("sample", 0, "BLUE", "RED", "CHANGE"), ("sample", 1, "NEW", "BLUE", "EXTRA")}
+    rows = spark.createDataFrame([(1, 1, "red cap", "blue cap", "MISMATCH"), (1, 0, "", "new", "EXTRA"), (1, 2, "x", "x", "MATCH")], "pair_id long, field_ord int, approval string, sample string, status string")
+    flat = highlight.flat_differences(rows)
+    assert [(r["diff_no"], r["type"], r["approval_text"], r["sample_text"], r["sample_line"]) for r in sorted(flat.collect())] == [(0, "insert", "", "NEW", None), (1, "replace", "RED", "BLUE", None)]
+    assert {(r["side"], r["target"]) for r in highlight.both_sides(flat, a, s, F.lit(100), F.lit(80)).collect()} == {("approval", "RED"), ("sample", "BLUE"), ("sample", "NEW")}
+
+
 def test_line_mismatches(spark):
     p = spark.createDataFrame([(1, "A\nB 1\nC", "A\nB 2"), (2, "A", "A")], "pair_id long, atext string, stext string")
     got = {(r["pair_id"], r["field"], r["approval"], r["sample"], r["status"], r["score"]) for r in compare.line_mismatches(compare.compare_lines(p)).collect()}
