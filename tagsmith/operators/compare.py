@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tagsmith.deploy import ship
 from tagsmith.functions.align import key_similarity, line_opcodes, word_diffs
 from tagsmith.functions.text import key_form, lines, numbers, strip, tokens, tolerant_equal
+from tagsmith.settings import DEFAULT
 
-#: The ratio from which unequal texts match, the field threshold, weights and the pass mark.
-TEXT_MATCH, FIELD_MATCH, PASS_MARK = 0.98, 0.88, 0.90
+#: The ratio from which unequal texts match, the field threshold and the pass mark; fixed values: the weights.
+TEXT_MATCH, FIELD_MATCH, PASS_MARK = DEFAULT.text_match, DEFAULT.field_match, DEFAULT.overall_pass
 WEIGHTS = {"text": 0.85, "logo": 0.10, "barcode": 0.05}
 STATUSES = {"matched": "MATCH", "mismatched": "MISMATCH", "missing": "MISSING", "extra": "EXTRA", "not_checked": "NOT_CHECKED"}
 

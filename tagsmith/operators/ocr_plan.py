@@ -2,7 +2,8 @@
 
 Candidates of one table, a row a token, are scored by call; the best page mode wins within a variant, the best variant within an
 engine, the first engine with words the label. Only keys and scores take part in that; the winner's words are then fetched
-by their key, mapped to the source image, put into lines and joined to text. All tokens are shuffled once, by label.
+by their key, mapped to the source image, put into lines and joined to text. Tokens are written once as words; what is shuffled
+are counts by call and the winners' words, unless the winners are too many to be broadcast.
 """
 
 from __future__ import annotations
@@ -14,8 +15,12 @@ from pyspark.sql import functions as F
 
 from tagsmith.functions.text import squeeze
 from tagsmith.operators import ocr
+from tagsmith.settings import DEFAULT
+from tagsmith.sources.shared import kept
 
 CALL = ("engine", "variant_ord", "psm_ord")
+#: Winners are broadcast up to so many bytes; about what one takes.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 128
 #: The preprocessed images that are tried, in order.
 VARIANTS = ("original", "gray", "clahe", "adaptive")
 
@@ -24,10 +29,10 @@ VARIANTS = ("original", "gray", "clahe", "adaptive")
 class OcrSettings:
     """psm: the configured page mode; hosted: the second engine alone, its first variant with words; second: the second engine beside the first."""
 
-    psm: int = 6
+    psm: int = DEFAULT.psm
     hosted: bool = False
     second: bool = False
-    floor: float = 25.0
+    floor: float = DEFAULT.ocr_floor
 
     def __post_init__(self):
         if self.psm < 0 or not 0 <= self.floor <= 100:
@@ -100,16 +105,19 @@ def choose(images: DataFrame, winners: DataFrame, key: str = "label_id") -> Data
     return rows.select(*images.columns, F.when(F.col("tesseract").isNotNull(), "tesseract").otherwise("easyocr").alias("engine"), won["variant_ord"].alias("variant_ord"), won["psm_ord"].alias("psm_ord"), F.bround(mean, 1).alias("confidence"))
 
 
-def placed_words(words: DataFrame, chosen: DataFrame, key: str = "label_id") -> DataFrame:
+def placed_words(words: DataFrame, chosen: DataFrame, key: str = "label_id", limit: int = BROADCAST_BYTES) -> DataFrame:
     """key, seq, text, confidence, x, y, w, h, line_index, word_index of the winners' words, in source coordinates.
 
+    Winners (a row a label) of up to limit bytes are broadcast, so that words of losing calls are not shuffled.
+
     The first engine's lines are its own; the second has none, so its words are put into lines by their height.
     """
     call = chosen.select(key, *[F.col(c).alias(f"__{c}") for c in CALL], "ocr_w", "ocr_h", "image_w", "image_h")
+    call = F.broadcast(call) if call.count() * ROW_BYTES <= limit else call
     won = words.join(call, key).where(" AND ".join(f"{c} = __{c}" for c in CALL))
     won = ocr.map_boxes(won, F.greatest("ocr_w", F.lit(1)), F.greatest("ocr_h", F.lit(1)), F.col("image_w"), F.col("image_h"))
     won = won.select(key, "engine", "seq", "text", "confidence", F.col("ox").alias("x"), F.col("oy").alias("y"), F.col("ow").alias("w"), F.col("oh").alias("h"), *ocr.LINE)
-    first = ocr.index_words(won.where("engine = 'tesseract'"), key, together=True)
+    first = ocr.index_words(won.where("engine = 'tesseract'"), key)
     second = won.where("engine = 'easyocr'")
     lines = ocr.cluster_words(second, key).select(key, "line_index", F.posexplode("words").alias("word_index", "o")).select(key, F.col("o.seq").alias("seq"), "line_index", "word_index")
     cols = (key, "seq", "text", "confidence", "x", "y", "w", "h", "line_index", "word_index")
@@ -133,16 +141,17 @@ def failures(calls: DataFrame, settings: OcrSettings, key: str = "label_id") ->
     return rows.where("not available").select(key, "error")
 
 
-def read_labels_by_plan(images: DataFrame, calls: DataFrame, tokens: DataFrame, settings: OcrSettings | None = None, key: str = "label_id") -> tuple[DataFrame, DataFrame]:
+def read_labels_by_plan(images: DataFrame, calls: DataFrame, tokens: DataFrame, settings: OcrSettings | None = None, key: str = "label_id", limit: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(labels, words) of images (key, image_w, image_h, ocr_w, ocr_h), calls (key, engine, variant_ord, psm_ord, available, error) and their tokens.
 
     labels: key, engine, variant_ord, psm_ord, confidence, n_words, n_lines, text, error (null where a call was available);
     words: see placed_words. Tokens of calls that are not available, or not of the plan, do not count.
     """
     settings = settings or OcrSettings()
-    words = usable_words(tokens, settings).repartition(key)
+    words = usable_words(tokens, settings).select(key, *CALL, "seq", "text", "confidence", "x", "y", "w", "h", *ocr.LINE)
+    words = kept(words, "ocr-words")
     scores = call_scores(words, key).join(calls.where("available").select(key, *CALL), [key, *CALL], "left_semi")
-    chosen = choose(images, tournament(scores, settings, key), key)
-    placed = placed_words(words, chosen, key)
+    chosen = kept(choose(images, tournament(scores, settings, key), key), "ocr-chosen")
+    placed = placed_words(words, chosen, key, limit)
     labels = label_texts(chosen, placed, key).join(failures(calls, settings, key), key, "left")
     return labels.select(key, "engine", "variant_ord", "psm_ord", "confidence", "n_words", "n_lines", "text", "error"), placed

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tagsmith import fixtures as X
 from tagsmith.functions import text as T
-from tagsmith.operators import groups
-from tagsmith.queries import _BARS, _COUNTS, _FIELD_ROWS, _PAIRS, ORACLE_SQL, QUERIES, _key, _lines, _norm, _squeeze, _upper, query
+from tagsmith.operators import barcode, groups
+from tagsmith.plans import label_qc
+from tagsmith.queries import _BARS, _COUNTS, _LOGO, _FIELD_ROWS, _PAIRS, ORACLE_SQL, QUERIES, _key, _lines, _norm, _squeeze, _upper, query
 
 
 def _blocks(name: str) -> str:
@@ -50,17 +51,20 @@ f_res AS (SELECT *, CASE WHEN total > 0 THEN round_even(matched / total, 4) ELSE
 l_res AS (SELECT *, round_even(matched / total, 4) AS score FROM (SELECT pair_id, {_LINE_COUNTS}, count(*) AS total FROM line_rows GROUP BY pair_id))"""
 
 
-def _summary(bars: str | None) -> str:
-    """CTE pair_summary from f_res and l_res; bars: a table (pair_id, status) of barcode verdicts."""
+def _summary(bars: str | None, logos: str | None = None) -> str:
+    """CTE pair_summary from f_res and l_res; bars and logos: tables (pair_id, status) of barcode and logo verdicts."""
     pick = lambda f, t: f"coalesce(CASE WHEN f.total > 0 THEN f.{f} ELSE t.{t} END, 0)"
     line = lambda c: f"coalesce(CASE WHEN f.total > 0 THEN t.{c} END, 0)"
+    status = lambda t, alias: f"upper({alias}.status)" if t else "CAST(NULL AS varchar)"
+    join = lambda t, alias: f"LEFT JOIN {t} {alias} USING (pair_id)" if t else ""
     return f"""
-merged AS (SELECT pair_id, CAST(NULL AS varchar) AS logo_status, {'upper(b.status)' if bars else 'CAST(NULL AS varchar)'} AS barcode_status, {', '.join(f'{pick(c, c)} AS {c}' for c in ('matched', 'mismatched', 'missing', 'extra', 'total'))},
+merged AS (SELECT pair_id, {status(logos, 'g')} AS logo_status, {status(bars, 'b')} AS barcode_status, {', '.join(f'{pick(c, c)} AS {c}' for c in ('matched', 'mismatched', 'missing', 'extra', 'total'))},
     coalesce(CASE WHEN f.total > 0 THEN f.not_checked END, 0) AS not_checked, {pick('field_score', 'score')} AS field_score, {', '.join(f'{line(c)} AS line_{c}' for c in ('mismatched', 'missing', 'extra'))}
-  FROM pairs p LEFT JOIN f_res f USING (pair_id) LEFT JOIN l_res t USING (pair_id) {f'LEFT JOIN {bars} b USING (pair_id)' if bars else ''}),
-weighed AS (SELECT *, CASE WHEN total > 0 OR barcode_status IN ('PASS', 'FAIL') THEN (CASE WHEN total > 0 THEN field_score * 0.85::double ELSE 0.0 END + 0.0 + CASE WHEN barcode_status = 'PASS' THEN 0.05::double ELSE 0.0 END)
-    / (CASE WHEN total > 0 THEN 0.85::double ELSE 0.0 END + 0.0 + CASE WHEN barcode_status IN ('PASS', 'FAIL') THEN 0.05::double ELSE 0.0 END) ELSE 0.0 END AS f FROM merged),
-pair_summary AS (SELECT * EXCLUDE (f), round_even(f, 4) AS score_fraction, round_even(f * 100, 1) AS score, CASE WHEN mismatched + missing + extra + line_mismatched + line_missing + line_extra > 0 OR coalesce(barcode_status = 'FAIL', false) OR f < 0.9 THEN 'FAIL' ELSE 'PASS' END AS status FROM weighed)"""
+  FROM pairs p LEFT JOIN f_res f USING (pair_id) LEFT JOIN l_res t USING (pair_id) {join(logos, 'g')} {join(bars, 'b')}),
+weighed AS (SELECT *, CASE WHEN total > 0 OR logo_status IN ('PASS', 'FAIL') OR barcode_status IN ('PASS', 'FAIL')
+  THEN (CASE WHEN total > 0 THEN field_score * 0.85::double ELSE 0.0 END + CASE WHEN logo_status = 'PASS' THEN 0.10::double ELSE 0.0 END + CASE WHEN barcode_status = 'PASS' THEN 0.05::double ELSE 0.0 END)
+    / (CASE WHEN total > 0 THEN 0.85::double ELSE 0.0 END + CASE WHEN logo_status IN ('PASS', 'FAIL') THEN 0.10::double ELSE 0.0 END + CASE WHEN barcode_status IN ('PASS', 'FAIL') THEN 0.05::double ELSE 0.0 END) ELSE 0.0 END AS f FROM merged),
+pair_summary AS (SELECT * EXCLUDE (f), round_even(f, 4) AS score_fraction, round_even(f * 100, 1) AS score, CASE WHEN mismatched + missing + extra + line_mismatched + line_missing + line_extra > 0 OR coalesce(logo_status = 'FAIL', false) OR coalesce(barcode_status = 'FAIL', false) OR f < 0.9 THEN 'FAIL' ELSE 'PASS' END AS status FROM weighed)"""
 
 
 def _hkey(x: str) -> str:
@@ -109,6 +113,16 @@ ORACLE_SQL |= {
 }
 
 
+@query(f"""{_VERDICT}, {_BARCODES}, {_LOGO}, lg AS (SELECT pair_id, CASE WHEN aok IS NULL OR bok IS NULL OR NOT aok THEN 'NOT_FOUND' WHEN NOT bok THEN 'FAIL' WHEN similarity <= 0 THEN 'NOT_FOUND' WHEN similarity >= 0.72 THEN 'PASS' ELSE 'FAIL' END AS status FROM sim),
+{_summary('bar', 'lg')} SELECT pair_id, logo_status, barcode_status, score, score_fraction, status FROM pair_summary""".replace("lg AS (SELECT pr.pair_id", "lgs AS (SELECT pr.pair_id").replace("FROM lg)", "FROM lgs)"))
+def pair_verdict(spark, d):
+    """Fields, lines, barcode and logo of each pair: pairs without images or codes are weighed without them."""
+    picked = barcode.pick(X.barcodes(spark, d), "label_id", "side")
+    bars = barcode.compare(picked.where("side = 0"), picked.where("side = 1")).select(F.col("label_id").alias("pair_id"), "status")
+    logos = QUERIES["logo_status"](spark, d)
+    return label_qc.pair_summary(X.label_pairs(spark, d), logo=logos, barcode=bars).select("pair_id", "logo_status", "barcode_status", "score", "score_fraction", "status")
+
+
 # --- approvals with many samples -----------------------------------------------------------------------------
 
 _GROUPS = f"""WITH RECURSIVE appr AS ({X.APPROVALS_SQL}), samp AS ({X.SAMPLES_SQL}), pairs AS (SELECT sample_no AS pair_id, s.group_id, a.text AS atext, s.text AS stext FROM samp s JOIN appr a USING (group_id)),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagsmith.settings import DEFAULT
+
 #: The accepted extensions and the size limit of one request.
-EXTENSIONS, MAX_BYTES = ("jpeg", "jpg", "pdf", "png", "webp"), 50 * 1024 * 1024
+EXTENSIONS, MAX_BYTES = ("jpeg", "jpg", "pdf", "png", "webp"), DEFAULT.max_bytes
 
 
 def extension(name: Column) -> Column:

@@ -66,10 +66,14 @@ def test_boxes_are_moved_into_the_image(spark):
     assert got == {1: (0, 0, 20, 10, 20, 10), 2: (95, 95, 5, 5, 100, 100), 3: (99, 0, 1, 10, 100, 10)}
 
 
-def test_tokens_are_shuffled_once(spark):
-    tokens = spark.createDataFrame([token(1, "tesseract", 0, 0, 0, "x")], TOKENS)
-    images = spark.createDataFrame([(1, 9, 9, 9, 9)], "label_id long, image_w int, image_h int, ocr_w int, ocr_h int")
-    labels, _ = plan.read_labels_by_plan(images, spark.createDataFrame([(1, "tesseract", 0, 0, True, None)], CALLS), tokens)
-    assert labels.collect()[0]["text"] == "x"
-    final = labels._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert len([line for line in final.splitlines() if "REPARTITION_BY_COL" in line and "ReusedExchange" not in line]) == 1
+def test_only_winners_are_shuffled(spark):
+    tokens = [token(i, "tesseract", v, 0, n, f"w{n}", str(50 + (i + v) % 4), 10 * n) for i in range(30) for v in range(4) for n in range(5)]
+    images = [(i, 100, 100, 100, 100) for i in range(30)]
+    frames = (spark.createDataFrame(images, "label_id long, image_w int, image_h int, ocr_w int, ocr_h int"), spark.createDataFrame([(i, "tesseract", v, 0, True, None) for i in range(30) for v in range(4)], CALLS), spark.createDataFrame(tokens, TOKENS))
+    labels, words = plan.read_labels_by_plan(*frames)
+    # words meet their winners where they are read
+    text = words._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin [label_id" not in text.split("BroadcastHashJoin")[1]
+    shuffled = plan.read_labels_by_plan(*frames, limit=0)
+    assert sorted(words.collect()) == sorted(shuffled[1].collect()) and words.count() == 150
+    assert sorted(map(repr, labels.collect())) == sorted(map(repr, shuffled[0].collect()))
