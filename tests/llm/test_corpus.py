@@ -131,7 +131,7 @@ def test_url_filter_keys_of_any_depth(spark):
 
 
 def test_registered_sql_covers_registered_queries():
-    assert set(ORACLE_SQL) <= set(QUERIES) and [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert set(ORACLE_SQL) <= set(QUERIES) and [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_heavy_keys_join(spark):
