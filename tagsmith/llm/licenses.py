@@ -63,6 +63,9 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": [*_short("Unlicense"), "This is free and unencumbered software released into the public domain."],
 }
 
+for _id, _notices in TEMPLATES.items():
+    _notices.append(f"SPDX-License-Identifier: {_id}")
+
 _CUE = re.compile(r"licen[sc]|copyright|permission is hereby|permission to use|redistribut|public domain|creative commons|\bcc0\b|\bcc[ -]by|\bgnu\b|\bgpl|provided \"as is\"|warrant", re.I)
 #: A text without any of these, in lower case, has no cue.
 _CUE_PARTS = ("licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "cc0", "cc-by", "cc by", "gnu", "gpl", "as is", "warrant")
@@ -71,6 +74,8 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _COMMON = {*"a an and any are as at be by for from in is it its may no not of on or that the this to under was with you your work".split()}
 #: Share of a sentence's less common words that license texts use, from which it goes on a block that it touches.
 LIKE, MIN_MATCH = 0.7, 0.8
+#: A notice is confirmed only if so many of its words are there, or this share of them.
+MIN_WORDS, MIN_COVER = 8, 0.5
 
 
 def _lower(text: str) -> str:
@@ -160,6 +165,9 @@ class LicenseScanner:
             inner = [*inner, *(o for o in ops[-1:] if o[0] != "delete")]
             clean = not any(w in _TELLING for t, a, b, c, e in inner if t != "equal" for w in [*words[a:b], *notice[c:e]])
             whole = same == len(notice) and all(t != "replace" for t, *_ in ops)
+            # a few words in the notice's order are not the notice
+            if same < min(MIN_WORDS, MIN_COVER * len(notice)):
+                continue
             share = 1.0 if whole and clean else same / max(1, len(words))
             if (clean, share, -len(diff)) > (best["clean"], best["share"], -len(best["diff"])):
                 equal = [(a, b) for t, a, b, _, _ in ops if t == "equal"]

@@ -189,3 +189,12 @@ def test_deep_pages_take_linear_time():
         begin = time.perf_counter()
         H.main_text(part * 30_000)
         assert time.perf_counter() - begin < 10
+
+
+def test_few_words_in_order_are_no_notice():
+    scanner = L.LicenseScanner()
+    found = lambda text: [r["license"] for r in scanner.scan(text)]
+    assert found("Dual licensed under the MIT License or the Apache License, Version 2.0, at your option.") == ["MIT", "Apache-2.0"]
+    assert found("Not licensed under the MIT License.") == ["MIT"]
+    for name in L.TEMPLATES:
+        assert found(f"# SPDX-License-Identifier: {name}\n") == [name]
