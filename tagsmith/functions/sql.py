@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tagsmith.deploy import ship
 from tagsmith.functions.text import LINE_END, SPACE
 
 
@@ -58,6 +59,7 @@ class _AlignedLines:
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session, and aligned_lines(a, s) as a table function for lateral joins."""
+    ship(spark)
     for name, (parameters, kind, expression) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {expression}")
     spark.udtf.register("aligned_lines", F.udtf(_AlignedLines, returnType="same boolean, approval_line int, sample_line int, approval string, sample string"))
