@@ -106,7 +106,7 @@ ORACLE_SQL |= {
     "line_mismatches": f"{_LINES} SELECT pair_id, concat('LINE ', CAST(line AS varchar)) AS field, approval, sample, status, CAST(NULL AS double) AS score FROM line_rows WHERE status <> 'MATCH'",
     "line_diffs": f"{_LINES}, {_DIFFS} SELECT * FROM visual",
     "highlight_boxes": f"""{_LINES}, {_DIFFS}, {_BOXES} SELECT side, pair_id, CAST(diff_no AS int) AS diff_no, target, CASE WHEN side = 'approval' AND type = 'delete' THEN 'ORANGE' WHEN side = 'sample' AND type = 'insert' THEN 'BLUE' ELSE 'RED' END AS color,
-  CASE WHEN side = 'approval' AND type = 'delete' THEN 'MISSING' WHEN side = 'sample' AND type = 'insert' THEN 'EXTRA' ELSE 'CHANGE' END AS label, x1, y1, x2, y2 FROM hb WHERE x2 > x1 AND y2 > y1""",
+  CASE WHEN side = 'approval' AND type = 'delete' THEN 'MISSING' WHEN side = 'sample' AND type = 'insert' THEN 'EXTRA' ELSE 'CHANGE' END AS label, x1, y1, CAST(x2 AS int) AS x2, y2 FROM hb WHERE x2 > x1 AND y2 > y1""",
     "report_summary": f"{_VERDICT}, {_summary(None)} SELECT pair_id, score AS score_percent, status AS result, matched, mismatched, missing, extra, not_checked, {_COLOR} FROM pair_summary",
     "overall_status": f"{_VERDICT}, {_BARCODES}, {_summary('bar')} SELECT * FROM pair_summary",
     "report_verification": f"{_VERDICT}, {_BARCODES}, {_summary('bar')} SELECT pair_id, unnest(['Logo', 'Barcode']) AS \"check\", unnest([coalesce(logo_status, 'NOT_CHECKED'), coalesce(barcode_status, 'NOT_CHECKED')]) AS result FROM pair_summary",

@@ -50,6 +50,6 @@ def ocr_plan(spark, d):
     return _plan(spark, d)[0].na.fill({"variant_ord": -1, "psm_ord": -1})
 
 
-@query(f"WITH {_PLAN} SELECT * FROM placed")
+@query(f"WITH {_PLAN} SELECT * REPLACE (CAST(seq AS int) AS seq) FROM placed")
 def ocr_plan_words(spark, d):
     return _plan(spark, d)[1]
