@@ -2,13 +2,12 @@
 
 d(x, y) = 1 - |x & y| / |x | y| is a metric on sets; two documents link when d <= r (r = 0.1 by default).
 
-1. Projection cells. Unrelated texts lie at distances of 0.97 to 1 from every document, so with documents alone as
-   pivots every window of 2r would admit every pivot. The first pivots are therefore projections: the shingle
-   universe is cut by hash into C classes, more than the largest symmetric difference H that two linked sets of
-   these sizes can have. Linked sets then agree wholly on at least C - H classes: they lie at distance 0 from the
-   same pivot (class content) in that many of the C projected spaces, and each set is replicated to its cells. A set
-   leaves out its smallest classes, all sizes up to the one up to which it has fewer than C - H classes: classes that
-   agree have one size, so of two linked sets the one that leaves out more still keeps a class that agrees.
+1. Regions. Unrelated texts lie at distances of 0.97 to 1 from every document, so with documents alone as
+   pivots every window of 2r would admit every pivot. The first pivots are therefore the shingles, from the rarest to
+   the most frequent (levels of how many documents hold one, then the hash): a set lies in the region of its first
+   shingle, and its window of r replicates it to the regions of the next ones. Of a set of n, a linked set holds at
+   least ceil(n (1 - r)), so the first shingle that two linked sets share is among the first n - ceil(n (1 - r)) + 1
+   of either one, and they meet in its region. Shingles of one document take places but make no region.
 2. Pivots. Each cell's pivot document p is its member in the densest cells; all members are measured against it and
    near ones link to it. Before any set is fetched, a pair is held against the triangle inequality in a smaller metric
    space: the parity sketch of a set (how many of its elements fall on each of B bits, modulo 2) lies no further
@@ -48,9 +47,8 @@ from pyspark.sql import functions as F
 from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_staged, hot_keys, join_unique, mapped, mix64, staged, table
 from tagsmith.llm.words import chunks, rolling, word_table
 
-#: Size bands grow by the third power of the largest ratio of linked sizes; a pair of sizes is always inside one band or
-#: in the joint between two. Wider bands need more classes for their own pairs, narrower ones put more sets in joints.
-BAND_POWER = 3
+#: Shingles are ordered by how many of these counts of documents they reach; each level is one bit filter.
+LEVEL_COUNTS = (2, 8, 64)
 #: Cells of at most this many members are joined pair by pair, larger ones are divided, at most LEVELS times.
 SMALL, LEVELS = 16, 6
 #: Division ends where all open cells together have at most so many pairs for each row of the first cells and each document.
@@ -81,48 +79,12 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield first + i, h[:0]
 
 
-def schemes(n: int, num: int, den: int) -> list[tuple[int, int]]:
-    """(scheme, H) of each class scheme that a set of size n takes part in; num / den is the least similarity.
-
-    Linked sizes are within num / den of each other, so a pair lies in one band or within that factor of the border
-    of two. |x ^ y| = |x| + |y| - 2 |x & y| <= (|x| + |y|) (den - num) / (den + num).
-    """
-    grow = (den / num) ** BAND_POWER
-    border = lambda band: int(np.ceil(grow**band - 1e-6))
-    band = int(np.floor(np.log(max(n, 1)) / np.log(grow) + 1e-9))
-    band += (n >= border(band + 1)) - (n < border(band))
-    low, high = border(band), border(band + 1)
-    most = lambda total: total * (den - num) // (den + num)
-    out = [(2 * band, most(2 * (high - 1)))]
-    if n * den >= high * num:  # its partner may be the next band's
-        out.append((2 * band + 1, most(high - 1 + (high - 1) * den // num)))
-    if n * num <= (low - 1) * den:
-        out.append((2 * band - 1, most(low - 1 + (low - 1) * den // num)))
-    return out
-
-
-def cell_keys(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The cells of a set: for each scheme, a hash of each class's content. s holds distinct hashes."""
-    out = []
-    with np.errstate(over="ignore"):
-        for scheme, h in schemes(len(s), num, den):
-            salt = mix64(np.array([scheme * 2 + 1], np.uint64))
-            m = mix64(s ^ salt)
-            spare = 4 + h // 8 if h else 0
-            c = h + 1 + spare
-            kind = (m >> np.uint64(20)) % np.uint64(c)
-            order = np.argsort(kind, kind="stable")
-            total = np.zeros(len(s) + 1, np.uint64)
-            np.cumsum(m[order], out=total[1:])
-            at = np.searchsorted(kind[order], np.arange(c + 1, dtype=np.uint64))
-            content = total[at[1:]] - total[at[:-1]]
-            count = np.diff(at).astype(np.uint64)
-            keys = mix64(mix64(content + count) ^ mix64(np.arange(c, dtype=np.uint64) * np.uint64(2**20 + 7) + salt))
-            # leave out the smallest classes: every size of which, with all smaller ones, there are at most spare
-            held = np.bincount(np.minimum(count, np.uint64(64)).astype(np.int64), minlength=66)
-            level = int(np.searchsorted(np.cumsum(held), spare, "right"))
-            out.append(keys[count >= np.uint64(min(level, 64))])
-    return np.concatenate(out) if out else s[:0]
+def leading(s: np.ndarray, levels: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The shingles in whose regions a set lies, s sorted, levels of its shingles; those of level 0 are no one else's."""
+    take = len(s) - -(-len(s) * num // den) + 1
+    place = (levels.astype(np.uint64) << np.uint64(62)) | (mix64(s) >> np.uint64(2))
+    first = np.argsort(place, kind="stable")[:take]
+    return s[first[levels[first] > 0]]
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -169,35 +131,49 @@ def _classes(k: int, num: int, den: int):
     return run
 
 
-def _cells(k: int, num: int, den: int, keep: BitFilter | None = None):
-    """Rows (cell), or with keep, rows (cell, f1, f2, x) of the cells that may be in it.
+def _shingles(k: int):
+    """Rows (cell) of each document's shingles: 32 bits of their hashes, enough for the levels' filters."""
+
+    def run(batches):
+        for b in batches:
+            held, size = [], 0
+            for _, s in shingle_sets(b.column(1), k):
+                held.append(s)
+                size += len(s)
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64).astype(np.int32))], ["cell"])
+                    held, size = [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64).astype(np.int32))], ["cell"])
+
+    return run
 
-    The first kind only makes a filter, which takes fewer bits than the 32 of a cell's hash that are shuffled for it.
-    """
+
+def _cells(k: int, num: int, den: int, filters: list[BitFilter]):
+    """Rows (cell, f1, f2, x): the regions in which each document lies."""
 
     def run(batches):
         for b in batches:
-            ids, cells, rows, f1, f2 = _ids(b), [], [], [], []
+            ids = _ids(b)
+            cells, rows, f1, f2 = [], [], [], []
             held = 0
 
             def out():
-                cell, n = np.concatenate(cells).view(np.int64), np.array([len(c) for c in cells])
-                if keep is None:
-                    return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32))], ["cell"])
-                cols = [pa.array(cell), *(pa.array(np.repeat(np.array(f, np.int64), n)) for f in (f1, f2)), pa.array(np.repeat(ids[rows], n))]
+                n = np.array([len(c) for c in cells])
+                cols = [pa.array(np.concatenate(cells).view(np.int64)), *(pa.array(np.repeat(np.array(f, np.int64), n)) for f in (f1, f2)), pa.array(np.repeat(ids[rows], n))]
                 return pa.RecordBatch.from_arrays(cols, ["cell", "f1", "f2", "x"])
 
             for i, s in shingle_sets(b.column(1), k):
                 if not len(s):
                     continue
-                keys = cell_keys(s, num, den)
-                if keep is not None:
-                    keys = keys[keep.test(keys)]
-                    if not len(keys):
-                        continue
-                    a, c = _fingerprint(s)
-                    rows.append(i), f1.append(a), f2.append(c)
-                cells.append(keys)
+                levels = np.zeros(len(s), np.uint8)
+                for f in filters:
+                    levels += f.test(s)
+                keys = leading(s, levels, num, den)
+                if not len(keys):
+                    continue
+                a, c = _fingerprint(s)
+                cells.append(keys), rows.append(i), f1.append(a), f2.append(c)
                 held += len(keys)
                 if held > 200_000:
                     yield out()
@@ -383,11 +359,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     join = _Join(docs, info, k, num, den)
 
-    cells = mapped(docs, _cells(k, num, den), "cell int").groupBy("cell").count().where("count > 1")
-    cells = staged(cells.select("cell"), "jaccard-shared")
-    rows = mapped(docs, _cells(k, num, den, bit_filter(cells, "cell")), "cell long, f1 long, f2 long, x long")
+    counts = mapped(docs, _shingles(k), "cell int").groupBy("cell").count().where(f"count >= {LEVEL_COUNTS[0]}")
+    counts = staged(counts, "jaccard-counts")
+    reach = counts.agg(*(F.count_if(F.col("count") >= c) for c in LEVEL_COUNTS)).first()
+    filters = [bit_filter(counts.where(F.col("count") >= c), "cell", r) for c, r in zip(LEVEL_COUNTS, reach, strict=True)]
+    rows = mapped(docs, _cells(k, num, den, filters), "cell long, f1 long, f2 long, x long")
     members = staged(rows.groupBy("cell", "f1", "f2").agg(F.min("x").alias("x")).select("cell", "x"), "jaccard-members")
-    drop_staged(cells)
+    drop_staged(counts)
 
     budget = PAIRS_PER_ROW * members.count() + PAIRS_PER_DOCUMENT * info.count()
     labels, level, last = None, 0, []

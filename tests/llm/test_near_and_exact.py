@@ -3,12 +3,13 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tagsmith.llm import exact_dedup as X
 from tagsmith.llm import jaccard_join as J
-from tagsmith.llm.jaccard_join import jaccard_join, schemes
+from tagsmith.llm.jaccard_join import jaccard_join, leading
 
 FOLD = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 
@@ -45,13 +46,25 @@ def test_jaccard_join_equals_brute_force(spark, hard_docs, k, num, den):
     assert len({c for _, c in got.values()}) < len(got)
 
 
-def test_every_linked_pair_of_sizes_shares_a_scheme():
+def test_linked_sets_meet_in_a_region():
+    """Whatever the levels, two sets of just enough similarity lead with a common shingle; one that no one else holds leads nowhere."""
+    rng = np.random.default_rng(5)
     for num, den in ((9, 10), (4, 5)):
-        for n in range(1, 400):
-            for m in range(n, n * den // num + 1):
-                shared = {s for s, _ in schemes(n, num, den)} & {s for s, _ in schemes(m, num, den)}
-                most = (n + m) * (den - num) // (den + num)
-                assert any(h >= most for s, h in schemes(n, num, den) if s in shared), (n, m)
+        for n in range(1, 300):
+            for m in range(-(-n * num // den), n + 1):
+                both = -(-num * (n + m) // (num + den))  # the least intersection of linked sets of these sizes
+                if both > m:
+                    continue
+                pool = np.unique(rng.integers(1, 2**63, 2 * (n + m), dtype=np.uint64))[: n + m - both]
+                rng.shuffle(pool)
+                levels = rng.integers(0, 4, len(pool))
+                levels[:both] = np.maximum(levels[:both], 1)  # what both hold is held by two
+                level = dict(zip(pool.tolist(), levels.tolist(), strict=True))
+                sets = np.sort(pool[:n]), np.sort(np.concatenate([pool[:both], pool[n:]]))
+                x, y = (leading(s, np.array([level[e] for e in s.tolist()], np.uint8), num, den) for s in sets)
+                assert np.intersect1d(x, y).size, (n, m)
+    alone = np.arange(1, 50, dtype=np.uint64)
+    assert not leading(alone, np.zeros(49, np.uint8), 9, 10).size
 
 
 def test_jaccard_join_members_of_one_region_link_apart_from_the_pivot(spark):
