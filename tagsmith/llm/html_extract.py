@@ -9,7 +9,10 @@ Nodes whose terminal outweighs all their smoothness edges are on its side in eve
 into their neighbours' terminals first, and max-flow runs on what is left.
 
 Class words that name a place beside the text (sidebar, nav, ...) say nothing about an element that holds a main or an
-article, nor do names like has-sidebar or page-with-sidebar.
+article, nor do names like has-sidebar, comments-open or page-with-sidebar, nor a form around a main or an article. Of a main's
+or an article's own names only whole ones count (comment, not comment-list). If the cut leaves nothing of a page, it is
+cut again with the prior of a page that is all text: a short block and a form are then no evidence against text, and
+menus, notices and the like still are.
 
 Defined cases: null or empty html gives an empty text; text outside any element is a block of the body; unclosed and
 stray tags are repaired by nesting rules (body and text end an open head, blocks an open button or select); ties of the
@@ -45,7 +48,7 @@ _GOOD = {*"article content main post entry story body text maincontent".split()}
 #: Those of _BAD that name a place in a layout.
 _PLACES = {*"sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer masthead banner sticky toolbar widget search ads ad".split()}
 #: Class names with one of these say what a layout has or lacks, not what the element is.
-_LAYOUT = {*"with has no without layout grid wrapper container page columns".split()}
+_LAYOUT = {*"with has no without layout grid wrapper container page columns enabled disabled open closed allowed active ready on off work works".split()}
 #: Elements whose start a head may hold; any other start ends it.
 _IN_HEAD = {*"head title meta link base script style noscript template".split()}
 _PHRASE_ONLY = {*"button select option datalist".split()}
@@ -67,7 +70,7 @@ class _Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.parent, self.depth, self.own, self.place, self.holds = [0], [0], [0.0], [0.0], [False]
+        self.parent, self.depth, self.own, self.place, self.form, self.holds = [0], [0], [0.0], [0.0], [0.0], [False]
         self.stack: list[tuple[str, int, bool]] = []  # tag, element, silent
         self.scopes: list[tuple[str, int, dict[str, int]]] = [("body", 0, {})]  # open blocks and the inline elements open in each
         self.open: dict[str, int] = {}
@@ -90,20 +93,23 @@ class _Blocks(HTMLParser):
             own = 0.5 if self.open.get("article") or self.open.get("main") else -7.0
         if tag not in ("body", "html"):
             words = [_TOKEN.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower()) for k, v in attrs if k in ("class", "id", "role") and v for name in v.split()]
-            bad = {w for ws in words if not _LAYOUT & {*ws} for w in ws if w in _BAD}
+            text_root = tag in ("main", "article")
+            bad = {w for ws in words if not _LAYOUT & {*ws} and (len(ws) == 1 or not text_root) for w in ws if w in _BAD}
             if bad:
                 own, place = own - 8.0, 8.0 if bad <= _PLACES else 0.0
             elif any(w in _GOOD for ws in words for w in ws):
                 own += 1.0
             if any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs):
                 own, place = own - 8.0, 0.0
-            if tag in ("main", "article") and not bad:
+            if text_root and not bad:
                 i = self.stack[-1][1] if self.stack else 0
                 while i and not self.holds[i]:
                     self.holds[i] = True
                     i = self.parent[i]
+        form = -_ELEMENTS["form"] if tag == "form" else 0.0
         up = self.stack[-1][1] if self.stack else 0
-        self.parent.append(up), self.depth.append(self.depth[up] + 1), self.own.append(own), self.place.append(place), self.holds.append(False)
+        self.form.append(form)
+        self.parent.append(up), self.depth.append(self.depth[up] + 1), self.own.append(own), self.place.append(place + form), self.holds.append(False)
         return len(self.parent) - 1
 
     def _pop(self, at: int):
@@ -184,17 +190,20 @@ class _Blocks(HTMLParser):
         self._flush()
         return self.blocks
 
-    def evidence(self) -> list[float]:
-        """Of each element, that of its path; elements come after their parents."""
+    def evidence(self, all_text: bool = False) -> list[float]:
+        """Of each element, that of its path; elements come after their parents. all_text: forms are none."""
         out = [0.0] * len(self.parent)
         for i in range(1, len(out)):
-            out[i] = out[self.parent[i]] + self.own[i] + (self.place[i] if self.holds[i] else 0.0)
+            back = self.place[i] if self.holds[i] else self.form[i] if all_text else 0.0
+            out[i] = out[self.parent[i]] + self.own[i] + back
         return out
 
 
-def _margin(block: _Block, path_evidence: float) -> float:
-    """Evidence that a block is content: the classifier's margin."""
+def _margin(block: _Block, path_evidence: float, all_text: bool = False) -> float:
+    """Evidence that a block is content: the classifier's margin. all_text: the prior of a page that is all text."""
     size = min(len(block.text), 400) / 400
+    if all_text:
+        return path_evidence + 1.2 * size - 3.0 * block.links + 0.5
     few = 0.8 if block.tag in ("li", "tr", "div", "body") and len(block.text) < 40 else 0.0
     return path_evidence + 1.2 * size - 3.0 * block.links * (1 - 0.5 * size) - few - 1.0
 
@@ -303,20 +312,21 @@ def _max_flow(need: list[float], edges: dict[tuple[int, int], float]) -> list[bo
                 graph[e[0]][e[2]][1] += flow
 
 
-def labelled(html: str) -> list[tuple[str, float, bool]]:
-    """(text, terminal capacity: positive for content, label) of each block of a page."""
+def labelled(html: str, all_text: bool = False) -> list[tuple[str, float, bool]]:
+    """(text, terminal capacity: positive for content, label) of each block of a page. all_text: the prior of a page that is all text."""
     page = _Blocks()
     page.feed(html)
     if not page.finish():
         return []
-    paths = page.evidence()
-    need = [CERTAIN * tanh(_margin(b, paths[b.node]) / CERTAIN) for b in page.blocks]
+    paths = page.evidence(all_text)
+    need = [CERTAIN * tanh(_margin(b, paths[b.node], all_text) / CERTAIN) for b in page.blocks]
     kept = minimum_cut(need, _edges(page))
     return [(b.text, x, k) for b, x, k in zip(page.blocks, need, kept, strict=True)]
 
 
 def main_text(html: str) -> str:
-    return "\n\n".join(text for text, _, kept in labelled(html) if kept)
+    texts = [text for text, _, kept in labelled(html) if kept]
+    return "\n\n".join(texts or [text for text, _, kept in labelled(html, all_text=True) if kept])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -198,3 +198,31 @@ def test_few_words_in_order_are_no_notice():
     assert found("Not licensed under the MIT License.") == ["MIT"]
     for name in L.TEMPLATES:
         assert found(f"# SPDX-License-Identifier: {name}\n") == [name]
+
+
+TEXT = "<p>Some words of the article, enough of them to be a text.</p>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<article class="post share-enabled">{TEXT}</article>',
+        f'<article class="comments-open">{TEXT}</article>',
+        f'<section class="related-work">{TEXT}</section>',
+        f"<main><form>{TEXT}</form></main>",
+        f"<form id=aspnetForm><article>{TEXT}</article></form>",
+        f'<div class="menu">Home</div>{TEXT}<form><p>Your mail</p></form>',
+    ],
+)
+def test_listed_words_do_not_empty_a_page(html):
+    assert H.main_text(html) == "Some words of the article, enough of them to be a text."
+
+
+@pytest.mark.parametrize("html,text", [("<p>one &amp; two&nbsp;three</p>", "one & two three"), ("<div><p>Hi there</p></div>", "Hi there"), ("bare text", "bare text")])
+def test_short_pages_are_text(html, text):
+    assert H.main_text(html) == text
+
+
+@pytest.mark.parametrize("html", ["<nav><a href=1>x</a></nav><footer>f</footer>", '<div class="comments"><article class="comment"><p>Nice!</p></article></div>', '<div class="cookie-notice">We use cookies</div>', "<ul><li><a href=1>Home</a></li></ul>"])
+def test_pages_of_boilerplate_alone_stay_empty(html):
+    assert H.main_text(html) == ""
