@@ -11,8 +11,8 @@ into their neighbours' terminals first, and max-flow runs on what is left.
 Class words that name a place beside the text (sidebar, nav, ...) say nothing about an element that holds a main or an
 article, nor do names like has-sidebar, comments-open or page-with-sidebar, nor a form around a main or an article. Of a main's
 or an article's own names only whole ones count (comment, not comment-list). If the cut leaves nothing of a page, it is
-cut again with the prior of a page that is all text: a short block and a form are then no evidence against text, and
-menus, notices and the like still are.
+cut again with the prior of a page that is all text, where a short block is no evidence against text, and then with forms
+as none either; menus, notices and the like still are.
 
 Defined cases: null or empty html gives an empty text; text outside any element is a block of the body; unclosed and
 stray tags are repaired by nesting rules (body and text end an open head, blocks an open button or select); ties of the
@@ -190,11 +190,11 @@ class _Blocks(HTMLParser):
         self._flush()
         return self.blocks
 
-    def evidence(self, all_text: bool = False) -> list[float]:
-        """Of each element, that of its path; elements come after their parents. all_text: forms are none."""
+    def evidence(self, forms: bool = False) -> list[float]:
+        """Of each element, that of its path; elements come after their parents. forms: a form is none."""
         out = [0.0] * len(self.parent)
         for i in range(1, len(out)):
-            back = self.place[i] if self.holds[i] else self.form[i] if all_text else 0.0
+            back = self.place[i] if self.holds[i] else self.form[i] if forms else 0.0
             out[i] = out[self.parent[i]] + self.own[i] + back
         return out
 
@@ -312,21 +312,27 @@ def _max_flow(need: list[float], edges: dict[tuple[int, int], float]) -> list[bo
                 graph[e[0]][e[2]][1] += flow
 
 
-def labelled(html: str, all_text: bool = False) -> list[tuple[str, float, bool]]:
-    """(text, terminal capacity: positive for content, label) of each block of a page. all_text: the prior of a page that is all text."""
+def labelled(html: str, all_text: bool = False, forms: bool = False) -> list[tuple[str, float, bool]]:
+    """(text, terminal capacity: positive for content, label) of each block of a page.
+
+    all_text: the prior of a page that is all text; forms: a form is no evidence.
+    """
     page = _Blocks()
     page.feed(html)
     if not page.finish():
         return []
-    paths = page.evidence(all_text)
+    paths = page.evidence(forms)
     need = [CERTAIN * tanh(_margin(b, paths[b.node], all_text) / CERTAIN) for b in page.blocks]
     kept = minimum_cut(need, _edges(page))
     return [(b.text, x, k) for b, x, k in zip(page.blocks, need, kept, strict=True)]
 
 
 def main_text(html: str) -> str:
-    texts = [text for text, _, kept in labelled(html) if kept]
-    return "\n\n".join(texts or [text for text, _, kept in labelled(html, all_text=True) if kept])
+    for all_text, forms in ((False, False), (True, False), (True, True)):
+        texts = [text for text, _, kept in labelled(html, all_text, forms) if kept]
+        if texts:
+            break
+    return "\n\n".join(texts)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
