@@ -49,6 +49,8 @@ from tagsmith.llm.words import chunks, rolling, word_table
 
 #: Shingles are ordered by how many of these counts of documents they reach; each level is one bit filter.
 LEVEL_COUNTS = (2, 8, 64)
+#: They are counted in buckets of about so many, from sorted runs of about so many of a task's documents.
+BUCKET_SHINGLES, RUN_SHINGLES = 1 << 20, 1 << 20
 #: Cells of at most this many members are joined pair by pair, larger ones are divided, at most LEVELS times.
 SMALL, LEVELS = 16, 6
 #: Division ends where all open cells together have at most so many pairs for each row of the first cells and each document.
@@ -131,24 +133,51 @@ def _classes(k: int, num: int, den: int):
     return run
 
 
-def _shingles(k: int):
-    """Rows (cell) of each document's shingles: 32 bits of their hashes, enough for the levels' filters."""
+def _shingle_runs(k: int, buckets: int):
+    """Rows (bucket, run): sorted 32 bits of the shingles' hashes, enough for the levels' filters, by ranges of them.
+
+    A run holds what some documents hold of its range: a shingle once for each of them, but not oftener than the last level asks.
+    """
+    most = LEVEL_COUNTS[-1]
+    bounds = np.array([-(-(b << 32) // buckets) for b in range(buckets + 1)], np.uint64)
 
     def run(batches):
+        held, size = [], 0
+
+        def out():
+            h = np.concatenate(held)
+            held.clear()
+            h.sort()
+            again = np.flatnonzero(h[most:] == h[:-most]) + most
+            if len(again):
+                h = np.delete(h, again)
+            ends = np.searchsorted(h, bounds)
+            some = np.flatnonzero(np.diff(ends))
+            places = np.append(ends[some], len(h)).astype(np.int32) * h.itemsize
+            runs = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(places), pa.py_buffer(h)])
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), runs], ["bucket", "run"])
+
         for b in batches:
-            held, size = [], 0
             for _, s in shingle_sets(b.column(1), k):
-                held.append(s)
+                held.append(s.astype(np.uint32))
                 size += len(s)
-                if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64).astype(np.int32))], ["cell"])
-                    held, size = [], 0
-            if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64).astype(np.int32))], ["cell"])
+                if size > RUN_SHINGLES:
+                    yield out()
+                    size = 0
+        if size:
+            yield out()
 
     return run
 
 
+def _counted(bucket: pa.Table) -> pa.Table:
+    """Rows (cell, count) of a bucket's shingles that as many documents hold as the first level asks; counts beyond the last level are not whole."""
+    h = np.frombuffer(b"".join(bucket.column("run").to_pylist()), np.uint32)
+    h, n = np.unique(h, return_counts=True)
+    keep = n >= LEVEL_COUNTS[0]
+    return pa.table({"cell": pa.array(h[keep].view(np.int32)), "count": pa.array(n[keep])})
+
+
 def _cells(k: int, num: int, den: int, filters: list[BitFilter]):
     """Rows (cell, f1, f2, x): the regions in which each document lies."""
 
@@ -359,8 +388,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     join = _Join(docs, info, k, num, den)
 
-    counts = mapped(docs, _shingles(k), "cell int").groupBy("cell").count().where(f"count >= {LEVEL_COUNTS[0]}")
-    counts = staged(counts, "jaccard-counts")
+    # a row a shingle would fill the executors' hash tables with shingles that one document holds, so they are shuffled as runs
+    shingles = info.agg(F.sum("n")).first()[0] or 0
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles // BUCKET_SHINGLES)
+    runs = mapped(docs, _shingle_runs(k, buckets), "bucket int, run binary")
+    counts = staged(runs.groupBy("bucket").applyInArrow(_counted, "cell int, count long"), "jaccard-counts")
     reach = counts.agg(*(F.count_if(F.col("count") >= c) for c in LEVEL_COUNTS)).first()
     filters = [bit_filter(counts.where(F.col("count") >= c), "cell", r) for c, r in zip(LEVEL_COUNTS, reach, strict=True)]
     rows = mapped(docs, _cells(k, num, den, filters), "cell long, f1 long, f2 long, x long")
