@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,19 @@ def mapped(df: DataFrame, func, schema: str) -> DataFrame:
     return df.mapInArrow(func, schema)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within it, what runs passes at most so many rows at once to Python, where the session allows more; for tables of whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagsmith.llm.common import BitFilter, attach, bit_filter, components, drop_staged, hot_keys, join_unique, mapped, mix64, staged, table
+from tagsmith.llm.common import BitFilter, arrow_batches, attach, bit_filter, components, drop_staged, hot_keys, join_unique, mapped, mix64, staged, table
 from tagsmith.llm.words import chunks, rolling, word_table
 
 #: Shingles are ordered by how many of these counts of documents they reach; each level is one bit filter.
@@ -55,6 +55,8 @@ BUCKET_SHINGLES, RUN_SHINGLES = 1 << 20, 1 << 20
 SMALL, LEVELS = 16, 6
 #: Division ends where all open cells together have at most so many pairs for each row of the first cells and each document.
 PAIRS_PER_ROW, PAIRS_PER_DOCUMENT = 1, 8
+#: Rows of texts and sets that are passed to Python at once.
+BATCH_ROWS = 2000
 #: Pivots' sets of at most so many bytes, by their counted sizes, are broadcast; larger ones are shuffled.
 BROADCAST_BYTES = 16 << 20
 
@@ -382,6 +384,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Returns id_col, n_shingles, component_id: the smallest id that links reach, the document's own included.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).cast("string").alias("text")).where("row is not null")
+    with arrow_batches(docs.sparkSession, BATCH_ROWS):  # all Python runs in here; the result only reads written tables
+        return _joined(docs, id_col, k, num, den)
+
+
+def _joined(docs: DataFrame, id_col: str, k: int, num: int, den: int) -> DataFrame:
     if docs.groupBy("row").count().where("count > 1").limit(1).count():  # only the ids are shuffled to see this
         docs = staged(docs.groupBy("row").agg(F.min("text").alias("text")), "jaccard-docs")
     info = staged(mapped(docs, _classes(k, num, den), "row long, n long, f1 long, f2 long, sketch array<long>"), "jaccard-classes")

@@ -160,3 +160,12 @@ def test_shingles_are_counted_as_runs(spark, monkeypatch):
         jaccard_join(docs).count()
         assert cut(held) == cut(want.values()) and max(cut(held)) == 64
     assert not any("HashAggregate" in p for p in plans)
+
+
+def test_join_passes_small_batches_to_python(spark, monkeypatch):
+    """Whole texts by ten thousand rows at once took much of an executor; the session's own setting is back afterwards."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, stage = spark.conf.get(key), J.staged
+    monkeypatch.setattr(J, "staged", lambda df, name: (seen.append(int(spark.conf.get(key))), stage(df, name))[1])
+    jaccard_join(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string")).count()
+    assert seen and max(seen) <= 2000 and spark.conf.get(key) == before
