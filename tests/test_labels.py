@@ -279,3 +279,12 @@ def test_engines(spark):
     a = spark.createDataFrame([(1, 80.0), (3, 0.0)], "label_id long, confidence double")
     b = spark.createDataFrame([(1, 40.0), (2, 50.0)], "label_id long, confidence double")
     assert {tuple(r) for r in ocr.choose_engine(a, b).collect()} == {(1, "tesseract", 60.0), (2, "easyocr", 50.0), (3, "tesseract", 0.0)}
+
+
+def test_rounding_of_ties_that_are_none_in_binary(spark):
+    # 41 / 40 is just below 1.025; ten times the half of 0.01 + 25.69 is 128.5
+    words = spark.createDataFrame([(1, float(c)) for c in [1] * 39 + [2]], "label_id long, confidence double")
+    assert [r["confidence"] for r in ocr.mean_confidence(words).collect()] == [1.02]
+    a = spark.createDataFrame([(1, 0.01), (2, 0.01), (3, 0.25)], "label_id long, confidence double")
+    b = spark.createDataFrame([(1, 25.69), (2, 60.69)], "label_id long, confidence double")
+    assert {tuple(r) for r in ocr.choose_engine(a, b).collect()} == {(1, "tesseract", 12.8), (2, "tesseract", 30.4), (3, "tesseract", 0.2)}
