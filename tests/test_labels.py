@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tagsmith.functions import align
 from tagsmith.operators import barcode, compare, fields, highlight, logo, ocr, report
+from tagsmith.plans import label_qc
 from tagsmith.queries import QUERIES
 
 
@@ -288,3 +289,28 @@ def test_rounding_of_ties_that_are_none_in_binary(spark):
     a = spark.createDataFrame([(1, 0.01), (2, 0.01), (3, 0.25)], "label_id long, confidence double")
     b = spark.createDataFrame([(1, 25.69), (2, 60.69)], "label_id long, confidence double")
     assert {tuple(r) for r in ocr.choose_engine(a, b).collect()} == {(1, "tesseract", 12.8), (2, "tesseract", 30.4), (3, "tesseract", 0.2)}
+
+
+def test_pairs_are_compared_inside_their_rows(spark):
+    """A summary of pairs needs no exchange, and its counts are those of the rows."""
+    texts = ["BUYER: A\nSIZE: 4\n*\nQTY: 5 PCS", "BUYER: A\nSIZE: 4\nQTY: 6 PCS", "", None, "size :  4\r\nBUYER: A\n\nBUYER: A", "SIZE: 4\nSIZE: 4\nBUYER: A"]
+    pairs = spark.createDataFrame([(i * 10 + j, a, s) for i, a in enumerate(texts) for j, s in enumerate(texts)], "pair_id long, atext string, stext string")
+    got = label_qc.pair_summary(pairs)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    apart = compare.summarise(pairs, compare.field_result(label_qc.field_rows(pairs)), compare.line_result(compare.compare_lines(pairs)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, apart.select(got.columns).collect()))
+
+
+def test_alignments_without_a_choice(spark):
+    rnd = random.Random(17)
+    lists = [[rnd.choice("ABCDEFGHIJKL") * rnd.choice((1, 1, 1, 2)) for _ in range(rnd.randint(0, 7))] for _ in range(400)]
+    pairs = [(i, a, [x for x in a if rnd.random() < 0.8] + rnd.choice(lists)[: rnd.randint(0, 2)]) for i, a in enumerate(lists)]
+    df = spark.createDataFrame([(i, "\n".join(a), "\n".join(s)) for i, a, s in pairs], "pair_id int, atext string, stext string")
+    got = {(r["pair_id"], r["approval_line"], r["sample_line"], r["status"]) for r in compare.compare_lines(df).collect()}
+    want = set()
+    for i, a, s in pairs:
+        for tag, i1, i2, j1, j2 in SequenceMatcher(None, a, s, autojunk=False).get_opcodes():
+            for k in range(max(i2 - i1, j2 - j1)):
+                x, y = i1 + k if i1 + k < i2 else None, j1 + k if j1 + k < j2 else None
+                want.add((i, x, y, "MATCH" if tag == "equal" else "MISSING" if y is None else "EXTRA" if x is None else "MISMATCH"))
+    assert got == want
