@@ -1,16 +1,17 @@
 """Edge pixels of grey images: gradients of a 3 x 3 stencil, thinning along the gradient, and two thresholds with connected weak edges.
 
 The stencil works on one array an image, inside the JVM. Pixels over the lower threshold form components of neighbours; a
-component is an edge if one of its pixels is over the upper one. Components are found for all images together, by labels that
-spread and jump, so a long winding edge takes few turns.
+component is an edge if one of its pixels is over the upper one. An image is one row, and no component leaves its image, so each
+is grown from its strong pixels inside that row: in Python, as no expression walks until nothing is left.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagsmith.sources.shared import kept
+from tagsmith.deploy import ship
 
 #: The thresholds, and the tangent of 22.5 degrees that parts the directions of a gradient.
 LOW, HIGH, TANGENT = 50, 150, 0.41421356237309503
@@ -42,7 +43,7 @@ def gradients(images: DataFrame) -> DataFrame:
 
 
 def candidates(pixels: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """image_id, w, p (place, row by row), strong of the pixels that are left by the lower threshold and the thinning.
+    """image_id, w, cs: array of (p (place, row by row), strong) of the pixels that are left by the lower threshold and the thinning.
 
     A pixel's size is |gx| + |gy|, nothing outside the image. It stays if it is larger than its neighbour before it along the
     gradient and not smaller than the one behind; along the diagonals larger than both.
@@ -59,34 +60,35 @@ def candidates(pixels: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame
         return (m > low) & F.when(level, (m > size(0, -1)) & (m >= size(0, 1))).when(upright, (m > size(-1, 0)) & (m >= size(1, 0))).otherwise(slant)
 
     kept_places = F.filter(F.transform("gs", lambda g, i: F.when(keeps(g, i), F.struct(i.alias("p"), (F.get("ms", i) > high).alias("strong")))), lambda c: c.isNotNull())
-    return rows.select("image_id", "w", F.inline(kept_places))
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, component (the least node that links reach) of links (a, b). Each turn's labels are a written table."""
-    both = kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        spread = labels.join(near, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("further"))
-        labels = kept(spread.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"), "old"), "labels")
-        if not labels.where("component <> old").limit(1).count():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+    return rows.select("image_id", "w", kept_places.alias("cs"))
+
+
+def _grown(w: pd.Series, places: pd.Series, strong: pd.Series) -> pd.Series:
+    """The places of each image that its strong ones reach through neighbours."""
+    out = []
+    for width, ps, ss in zip(w, places, strong, strict=True):
+        left = {int(p) for p, s in zip(ps, ss, strict=True) if not s}
+        found = [int(p) for p, s in zip(ps, ss, strict=True) if s]
+        if left:
+            width = int(width)
+            for p in found:  # it grows while it is walked
+                x = p % width
+                for d in range(-1 if x else 0, 2 if x + 1 < width else 1):
+                    for q in (p + d - width, p + d, p + d + width):
+                        if q in left:
+                            left.remove(q)
+                            found.append(q)
+        out.append(found)
+    return pd.Series(out, dtype=object)
 
 
 def edge_pixels(pixels: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
     """image_id, y, x of the edge pixels of images (image_id, y, x, v). Neighbours are the eight around a pixel."""
-    found = kept(candidates(pixels, low, high), "edge-candidates")
-    node = lambda p: F.struct("image_id", p.cast("int").alias("p"))
-    x = F.col("p") % F.col("w")
-    ahead = [F.when(x + 1 < F.col("w"), F.col("p") + 1), F.when(x > 0, F.col("p") + F.col("w") - 1), F.col("p") + F.col("w"), F.when(x + 1 < F.col("w"), F.col("p") + F.col("w") + 1)]
-    pairs = found.select("image_id", F.col("p").alias("a"), F.explode(F.array(*ahead)).alias("p")).where("p is not null").join(found.select("image_id", "p"), ["image_id", "p"])
-    linked = components(pairs.select(F.struct("image_id", F.col("a").cast("int").alias("p")).alias("a"), node(F.col("p")).alias("b")))
-    rows = found.withColumn("node", node(F.col("p"))).join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    edges = rows.where("strong").select("component").distinct()
-    rows = rows.join(edges, "component", "left_semi")
+    ship(pixels.sparkSession)
+    rows = candidates(pixels, low, high).where("image_id is not null")
+    part = lambda c: F.transform("cs", lambda x: x[c])
+    found = F.pandas_udf(_grown, "array<int>")("w", part("p"), part("strong"))
+    rows = rows.select("image_id", "w", F.explode_outer(found).alias("p")).where("p is not null")
     return rows.select("image_id", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x"))
 
 

@@ -53,3 +53,14 @@ def test_edges_by_brute_force(spark):
     gate = {r["image_id"]: r["has_content"] for r in logo.content(flagged, "image_id").collect()}
     assert gate[2] and not gate[0]
     assert edges.edge_pixels(pixels.where(F.lit(False))).count() == 0
+
+
+def test_edges_of_an_image_are_grown_inside_its_row(spark):
+    """No turns over written tables: one plan, whose driver holds nothing that grows with the images."""
+    rows = [(i, y, x, 255 * (x > 4)) for i in range(3) for y in range(8) for x in range(9)]
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, v int")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("edges", "edges")
+    found = edges.edge_pixels(pixels)
+    assert not jobs.getJobIdsForGroup("edges") and "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 3 * 8
