@@ -314,3 +314,16 @@ def test_alignments_without_a_choice(spark):
                 x, y = i1 + k if i1 + k < i2 else None, j1 + k if j1 + k < j2 else None
                 want.add((i, x, y, "MATCH" if tag == "equal" else "MISSING" if y is None else "EXTRA" if x is None else "MISMATCH"))
     assert got == want
+
+
+def test_targets_that_all_have_their_word_need_no_search(spark):
+    cases = {0: ("A B A", "A B A"), 1: ("B A", "A C B"), 2: ("A A", "A B A"), 3: ("A D", "A B"), 4: ("ABC", "ABCD ABC"), 5: ("ABC ABCD", "ABCD ABC X")}
+    rows = spark.createDataFrame([(i, [(k, x) for k, x in enumerate(t.split())], w.split()) for i, (t, w) in cases.items()], "id int, ts array<struct<target_no: int, tk: string>>, wks array<string>")
+    rows = rows.withColumn("ws", F.transform("wks", lambda w: F.struct(w.alias("wk"))))
+    settled, places = highlight._settled()
+    assert {r["id"]: r["p"] for r in rows.select("id", F.when(settled, places).alias("p")).collect()} == {0: [0, 1, 2], 1: [2, 0], 2: None, 3: None, 4: [1], 5: [1, 0]}
+    words = [(i, 0, j, j, 10 * j, 5, 8, 8, x) for i, (_, w) in cases.items() for j, x in enumerate(w.split())]
+    words = spark.createDataFrame(words, "label_id int, line_index int, word_index int, seq int, x int, y int, w int, h int, text string")
+    targets = spark.createDataFrame([(i, 0, n, x) for i, (t, _) in cases.items() for n, x in enumerate(t.split())], "label_id int, line_index int, target_no int, target string")
+    got = {(r["label_id"], r["target_no"]): (r["word_index"], r["fit"]) for r in highlight.find_words(targets, words).collect()}
+    assert got == {(0, 0): (0, 2), (0, 1): (1, 2), (0, 2): (2, 2), (1, 0): (2, 2), (1, 1): (0, 2), (2, 0): (0, 2), (2, 1): (2, 2), (3, 0): (0, 2), (4, 0): (1, 2), (5, 0): (1, 2), (5, 1): (0, 2)}
